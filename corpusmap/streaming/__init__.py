@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference is a batch pipeline with no stream source, watermark or
+stateful operator, so nothing here is built (see README, "Scope").
+"""
