@@ -180,3 +180,143 @@ for _t in range(4):
                 return w.select("doc_id", "term_id", "term", r6(F.col("w")).alias("w"))
             return q
         register(f"w_tf{_t}_idf{_i}", _tfidf_sql(_TF_SQL[_t], _IDF_SQL[_i]))(_mk())
+
+
+# ----------------------------------------------------------------- points (embeddings)
+from ..operators import affinity as N  # noqa: E402
+from ..operators import distance as D  # noqa: E402
+from ..operators import separation as C  # noqa: E402
+
+
+def embeddings(spark, sf_dir):
+    """Labelled points: ``(id, vec array<double>, label)``."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"),
+                    F.col("label").cast("string").alias("label"))
+
+
+SQL_POINTS = """
+  pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, CAST(label AS VARCHAR) AS label FROM embeddings)"""
+SQL_PAIRS = """
+  pairs AS (
+    SELECT a.id AS src, b.id AS dst, a.label AS la, b.label AS lb,
+           list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+    FROM pts a JOIN pts b ON a.id <> b.id)"""
+SQL_KNN = """
+  knn AS (
+    SELECT src, dst, d2, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank
+    FROM pairs QUALIFY rank <= 18)"""
+
+
+@register("c7_label_pair_sums", _with(SQL_POINTS, SQL_PAIRS) + """
+SELECT least(la, lb) AS l1, greatest(la, lb) AS l2,
+       round(sum(sqrt(d2)), 4) + 0.0 AS sum_dist, count(*)::BIGINT AS n_pairs
+FROM pairs WHERE src < dst GROUP BY 1, 2""")
+def q_label_pair_sums(spark, sf_dir):
+    s = C.label_pair_sums(embeddings(spark, sf_dir), run_col=None)
+    return s.select("l1", "l2", (F.round("sum_dist", 4) + F.lit(0.0)).alias("sum_dist"), "n_pairs")
+
+
+_SQL_SEP = """
+SELECT run_id, round(w, 6) + 0.0 AS within, round(b, 6) + 0.0 AS between, round(w / b, 6) + 0.0 AS ratio
+FROM (SELECT run_id,
+             sum(CASE WHEN la = lb THEN sqrt(d2) END) / count(CASE WHEN la = lb THEN 1 END) AS w,
+             sum(CASE WHEN la < lb THEN sqrt(d2) END) / count(CASE WHEN la < lb THEN 1 END) AS b
+      FROM runs GROUP BY run_id)"""
+
+
+@register("c6_separation", _with(SQL_POINTS, SQL_PAIRS, """
+  runs AS (SELECT 'default' AS run_id, * FROM pairs)""") + _SQL_SEP)
+def q_separation(spark, sf_dir):
+    s = C.separation(embeddings(spark, sf_dir), run_col=None)
+    return s.select("run_id", r6(F.col("within")).alias("within"), r6(F.col("between")).alias("between"),
+                    r6(F.col("ratio")).alias("ratio"))
+
+
+@register("c8_separation_many_runs", _with("""
+  pts AS (
+    SELECT 'by_label' AS run_id, vec_id AS id, embedding::DOUBLE[] AS v, CAST(label AS VARCHAR) AS label FROM embeddings
+    UNION ALL
+    SELECT 'by_parity', vec_id, embedding::DOUBLE[], CAST(label % 2 AS VARCHAR) FROM embeddings)""", """
+  runs AS (
+    SELECT a.run_id, a.label AS la, b.label AS lb,
+           list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d2
+    FROM pts a JOIN pts b ON a.run_id = b.run_id AND a.id <> b.id)""") + _SQL_SEP)
+def q_separation_runs(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    runs = e.withColumn("run_id", F.lit("by_label")).unionByName(
+        e.withColumn("run_id", F.lit("by_parity")).withColumn("label", (F.col("label").cast("int") % 2).cast("string")))
+    s = C.separation(runs)
+    return s.select("run_id", r6(F.col("within")).alias("within"), r6(F.col("between")).alias("between"),
+                    r6(F.col("ratio")).alias("ratio"))
+
+
+@register("v1_column_means", _with(SQL_POINTS) + """
+SELECT pos, round(avg(x), 6) + 0.0 AS mean
+FROM (SELECT unnest(range(0, 64)) AS pos, unnest(v) AS x FROM pts) GROUP BY pos""")
+def q_column_means(spark, sf_dir):
+    st = D.column_stats(embeddings(spark, sf_dir), run_col=None)
+    return st.select(F.posexplode("mean").alias("pos", "mean")).select(
+        F.col("pos").cast("long").alias("pos"), r6(F.col("mean")).alias("mean"))
+
+
+@register("v2_max_scale", _with(SQL_POINTS) + """
+SELECT round(greatest(0.0, max(mx - mean)), 6) + 0.0 AS max_x
+FROM (SELECT pos, avg(x) AS mean, max(x) AS mx
+      FROM (SELECT unnest(range(0, 64)) AS pos, unnest(v) AS x FROM pts) GROUP BY pos)""")
+def q_max_scale(spark, sf_dir):
+    st = D.column_stats(embeddings(spark, sf_dir), run_col=None)
+    return st.select(r6(F.col("max_x")).alias("max_x"))
+
+
+@register("n1_knn_k18", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN) + """
+SELECT src, dst, rank::BIGINT AS rank, round(d2, 6) + 0.0 AS d2 FROM knn""")
+def q_knn(spark, sf_dir):
+    k = D.knn(embeddings(spark, sf_dir), 18, run_col=None)
+    return k.select("src", "dst", F.col("rank").cast("long").alias("rank"), r6(F.col("d2")).alias("d2"))
+
+
+_SQL_SYM = """
+  sym AS (
+    SELECT src, dst, sum(v) / 2.0 AS p FROM (
+      SELECT src, dst, d2 AS v FROM knn UNION ALL SELECT dst AS src, src AS dst, d2 AS v FROM knn)
+    GROUP BY src, dst)"""
+
+
+def _knn_graph(spark, sf_dir):
+    return D.knn(embeddings(spark, sf_dir), 18, run_col=None).select("run_id", "src", "dst", F.col("d2").alias("p"))
+
+
+@register("n5_symmetrize", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, _SQL_SYM) + """
+SELECT src, dst, round(p, 6) + 0.0 AS p FROM sym""")
+def q_symmetrize(spark, sf_dir):
+    s = N.symmetrize(_knn_graph(spark, sf_dir))
+    return s.select("src", "dst", r6(F.col("p")).alias("p"))
+
+
+@register("n6_n7_symmetrize_sum_normalize", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, _SQL_SYM) + """
+SELECT src, dst, round(1e6 * p / sum(p) OVER (), 6) + 0.0 AS p_ppm FROM sym""")
+def q_normalize(spark, sf_dir):
+    s = N.normalize(N.symmetrize(_knn_graph(spark, sf_dir), halve=False))
+    return s.select("src", "dst", r6(F.lit(1e6) * F.col("p")).alias("p_ppm"))
+
+
+@register("n8_sparsity", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, _SQL_SYM) + """
+SELECT count(*)::BIGINT AS n_edges, round(count(*) / ((SELECT count(*) FROM pts)::DOUBLE ^ 2), 6) + 0.0 AS sparsity
+FROM sym""")
+def q_sparsity(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    s = N.symmetrize(_knn_graph(spark, sf_dir))
+    n = e.agg(F.count(F.lit(1)).alias("n")).withColumn("run_id", F.lit("default"))
+    return N.sparsity(s, n).select("n_edges", r6(F.col("sparsity")).alias("sparsity"))
+
+
+@register("n2_calibrate_perp6")
+def q_calibrate(spark, sf_dir):
+    """N2 (+N9 guard): perplexity-6 affinities on the 18-NN graph of max-scaled embeddings (no SQL form)."""
+    e = embeddings(spark, sf_dir)
+    n = e.count()
+    N.check_perplexity(n, 6.0)
+    st = D.column_stats(e, run_col=None).first()
+    k = D.knn(e, N.neighbours_for(6.0), run_col=None)
+    return N.calibrate(k, perplexity=6.0, scale2=float(st.max_x) ** 2)
