@@ -3,6 +3,8 @@ lineage cuts, dense ids and scan spreading."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,9 +30,35 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the session's checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    """Materialise ``df`` as a Parquet table in the session's checkpoint folder and read it back.
+
+    One job (no recomputation, unlike an un-persisted RDD checkpoint), a
+    plan that starts fresh from a file scan, and data in the shared folder
+    the cluster names -- so a lost executor never forces a replay of the
+    lineage.  ``eager`` is accepted for API symmetry; the write is always eager.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/corpusmap-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_table_files(df: DataFrame) -> None:
+    """Delete the files behind a frame returned by :func:`cut_lineage` (no longer needed)."""
+    spark = df.sparkSession
+    try:
+        paths = df.inputFiles()
+        if not paths:
+            return
+        folder = paths[0].rsplit("/", 1)[0]
+        if "corpusmap-" not in folder.rsplit("/", 1)[-1]:
+            return
+        jvm = spark._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(folder)
+        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+    except Exception:  # noqa: BLE001 - best effort clean-up
+        pass
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
