@@ -320,3 +320,191 @@ def q_calibrate(spark, sf_dir):
     st = D.column_stats(e, run_col=None).first()
     k = D.knn(e, N.neighbours_for(6.0), run_col=None)
     return N.calibrate(k, perplexity=6.0, scale2=float(st.max_x) ** 2)
+
+
+# ----------------------------------------------------------------- layout pieces on a data-derived map
+from ..operators import layout as L  # noqa: E402
+from ..operators.blocks import choose_blocks  # noqa: E402
+from . import sweep as X  # noqa: E402
+
+
+def embedding_map(spark, sf_dir):
+    """A 2-D state derived from the table: y = 10 × the first two embedding coordinates, u = 0, gains 1."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.lit("default").alias("run_id"), F.col("vec_id").alias("id"),
+                    (F.col("embedding")[0].cast("double") * 10.0).alias("y0"),
+                    (F.col("embedding")[1].cast("double") * 10.0).alias("y1"),
+                    F.lit(0.0).alias("u0"), F.lit(0.0).alias("u1"), F.lit(1.0).alias("g0"), F.lit(1.0).alias("g1"))
+
+
+def knn_edges(spark, sf_dir):
+    """Edges of the 18-NN graph of the embeddings with p = exp(-d2)."""
+    return D.knn(embeddings(spark, sf_dir), 18, run_col=None).select(
+        "run_id", "src", "dst", F.exp(-F.col("d2")).alias("p"))
+
+
+SQL_MAP = """
+  lay AS (SELECT vec_id AS id, 10.0 * embedding[1]::DOUBLE AS y0, 10.0 * embedding[2]::DOUBLE AS y1 FROM embeddings),
+  qq AS (SELECT a.id, a.y0 - b.y0 AS dx, a.y1 - b.y1 AS dy,
+                1.0 / (1.0 + (a.y0 - b.y0) ^ 2 + (a.y1 - b.y1) ^ 2) AS q
+         FROM lay a JOIN lay b ON a.id <> b.id),
+  rep AS (SELECT id, sum(q * q * dx) AS r0, sum(q * q * dy) AS r1 FROM qq GROUP BY id),
+  zz AS (SELECT sum(q) AS z FROM qq)"""
+SQL_EDGES = """
+  edges AS (SELECT src, dst, exp(-d2) AS p FROM knn),
+  att AS (
+    SELECT e.src AS id,
+           sum(e.p / (1.0 + (s.y0 - t.y0) ^ 2 + (s.y1 - t.y1) ^ 2) * (s.y0 - t.y0)) AS a0,
+           sum(e.p / (1.0 + (s.y0 - t.y0) ^ 2 + (s.y1 - t.y1) ^ 2) * (s.y1 - t.y1)) AS a1
+    FROM edges e JOIN lay s ON s.id = e.src JOIN lay t ON t.id = e.dst GROUP BY e.src)"""
+
+
+def _exact_pass(spark, sf_dir, with_edges=True):
+    state = embedding_map(spark, sf_dir)
+    edges = knn_edges(spark, sf_dir) if with_edges else spark.createDataFrame(
+        [], "run_id string, src long, dst long, p double")
+    nb = choose_blocks(state.count())
+    return state, L.sum_forces(L.exact_forces(state, L.edges_by_block(edges, nb), nb))
+
+
+@register("l2_attractive_forces", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, SQL_MAP, SQL_EDGES) + """
+SELECT id, round(a0, 6) + 0.0 AS a0, round(a1, 6) + 0.0 AS a1 FROM att""")
+def q_attractive(spark, sf_dir):
+    a = L.attractive_forces(embedding_map(spark, sf_dir), knn_edges(spark, sf_dir))
+    return a.select("id", r6(F.col("a0")).alias("a0"), r6(F.col("a1")).alias("a1"))
+
+
+@register("l3_exact_repulsion", _with(SQL_MAP) + """
+SELECT id, round(r0, 6) + 0.0 AS r0, round(r1, 6) + 0.0 AS r1 FROM rep""")
+def q_repulsion(spark, sf_dir):
+    _, (per_point, _) = _exact_pass(spark, sf_dir, with_edges=False)
+    return per_point.select("id", r6(F.col("r0")).alias("r0"), r6(F.col("r1")).alias("r1"))
+
+
+@register("l3_normaliser_z", _with(SQL_MAP) + """
+SELECT round(z, 4) + 0.0 AS z FROM zz""")
+def q_normaliser(spark, sf_dir):
+    _, (_, z) = _exact_pass(spark, sf_dir, with_edges=False)
+    return z.select((F.round("Z", 4) + F.lit(0.0)).alias("z"))
+
+
+@register("l2_l3_fused_block_pass", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, SQL_MAP, SQL_EDGES) + """
+SELECT r.id, round(coalesce(a.a0, 0.0), 6) + 0.0 AS a0, round(coalesce(a.a1, 0.0), 6) + 0.0 AS a1,
+       round(r.r0, 6) + 0.0 AS r0, round(r.r1, 6) + 0.0 AS r1
+FROM rep r LEFT JOIN att a ON a.id = r.id""")
+def q_fused(spark, sf_dir):
+    _, (per_point, _) = _exact_pass(spark, sf_dir)
+    return per_point.select("id", *[r6(F.col(c)).alias(c) for c in ("a0", "a1", "r0", "r1")])
+
+
+@register("l9_l11_gradient_step", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, SQL_MAP, SQL_EDGES, """
+  grad AS (
+    SELECT r.id, l.y0, l.y1,
+           12.0 * coalesce(a.a0, 0.0) - r.r0 / (SELECT z FROM zz) AS g0,
+           12.0 * coalesce(a.a1, 0.0) - r.r1 / (SELECT z FROM zz) AS g1
+    FROM rep r JOIN lay l ON l.id = r.id LEFT JOIN att a ON a.id = r.id),
+  gains AS (
+    SELECT id, y0, y1, g0, g1,
+           greatest(CASE WHEN sign(g0) <> 0 THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END, 0.01::DOUBLE) AS k0,
+           greatest(CASE WHEN sign(g1) <> 0 THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END, 0.01::DOUBLE) AS k1
+    FROM grad)""") + """
+SELECT id, round(y0 - 200.0 * k0 * g0, 6) + 0.0 AS y0, round(y1 - 200.0 * k1 * g1, 6) + 0.0 AS y1,
+       round(-200.0 * k0 * g0, 6) + 0.0 AS u0, round(-200.0 * k1 * g1, 6) + 0.0 AS u1,
+       round(k0, 6) + 0.0 AS g0, round(k1, 6) + 0.0 AS g1
+FROM gains""")
+def q_step(spark, sf_dir):
+    state, (per_point, z) = _exact_pass(spark, sf_dir)
+    new = L.gradient_step(state, per_point, z, L.exaggeration_at(0), L.momentum_at(0))
+    return new.select("id", *[r6(F.col(c)).alias(c) for c in ("y0", "y1", "u0", "u1", "g0", "g1")])
+
+
+@register("l12_recenter", _with(SQL_MAP) + """
+SELECT id, round(y0 - avg(y0) OVER (), 6) + 0.0 AS y0, round(y1 - avg(y1) OVER (), 6) + 0.0 AS y1 FROM lay""")
+def q_recenter(spark, sf_dir):
+    s = L.recenter(embedding_map(spark, sf_dir))
+    return s.select("id", r6(F.col("y0")).alias("y0"), r6(F.col("y1")).alias("y1"))
+
+
+@register("l14_kl_cost", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, SQL_MAP, """
+  edges AS (SELECT src, dst, exp(-d2) AS p FROM knn)""") + """
+SELECT round(sum(e.p * ln((e.p + 1e-9) /
+             ((1.0 / (1.0 + (s.y0 - t.y0) ^ 2 + (s.y1 - t.y1) ^ 2)) / (SELECT z FROM zz) + 1e-9))), 6) + 0.0 AS cost
+FROM edges e JOIN lay s ON s.id = e.src JOIN lay t ON t.id = e.dst""")
+def q_kl(spark, sf_dir):
+    state, (_, z) = _exact_pass(spark, sf_dir, with_edges=False)
+    c = L.kl_cost(state, knn_edges(spark, sf_dir), z)
+    return c.select(r6(F.col("cost")).alias("cost"))
+
+
+@register("l4_bounding_cell", _with(SQL_MAP) + """
+SELECT round(cx, 6) + 0.0 AS cx, round(cy, 6) + 0.0 AS cy,
+       round(greatest(mx0 - cx, cx - mn0) + 1e-5, 6) + 0.0 AS hw,
+       round(greatest(mx1 - cy, cy - mn1) + 1e-5, 6) + 0.0 AS hh
+FROM (SELECT avg(y0) AS cx, avg(y1) AS cy, min(y0) AS mn0, max(y0) AS mx0, min(y1) AS mn1, max(y1) AS mx1 FROM lay)""")
+def q_box(spark, sf_dir):
+    b = L.bounding_cell(embedding_map(spark, sf_dir))
+    return b.select(*[r6(F.col(c)).alias(c) for c in ("cx", "cy", "hw", "hh")])
+
+
+_SQL_PYRAMID = _with(SQL_MAP, """
+  box AS (SELECT avg(y0) AS cx, avg(y1) AS cy,
+                 greatest(max(y0) - avg(y0), avg(y0) - min(y0)) + 1e-5 AS hw,
+                 greatest(max(y1) - avg(y1), avg(y1) - min(y1)) + 1e-5 AS hh FROM lay),
+  lv AS (SELECT unnest(range(0, 7)) AS level),
+  bins AS (
+    SELECT l.level, p.y0, p.y1,
+           least(greatest(floor((p.y0 - (b.cx - b.hw)) / (2.0 * b.hw) * pow(2.0, l.level)), 0), pow(2.0, l.level) - 1)::BIGINT AS ix,
+           least(greatest(floor((p.y1 - (b.cy - b.hh)) / (2.0 * b.hh) * pow(2.0, l.level)), 0), pow(2.0, l.level) - 1)::BIGINT AS iy
+    FROM lay p CROSS JOIN box b CROSS JOIN lv l),
+  cells AS (SELECT level, ix, iy, count(*)::BIGINT AS n, avg(y0) AS m0, avg(y1) AS m1 FROM bins GROUP BY 1, 2, 3)""")
+
+
+@register("l5_l6_cell_pyramid", _SQL_PYRAMID + """
+SELECT level::INTEGER AS level, ix, iy, n, round(m0, 6) + 0.0 AS m0, round(m1, 6) + 0.0 AS m1 FROM cells""")
+def q_pyramid(spark, sf_dir):
+    c = L.cell_pyramid(embedding_map(spark, sf_dir), max_level=6)
+    return c.select("level", "ix", "iy", "n", r6(F.col("m0")).alias("m0"), r6(F.col("m1")).alias("m1"))
+
+
+@register("l7_pyramid_depth", _SQL_PYRAMID + """
+SELECT (max(level) + 2)::INTEGER AS depth FROM cells WHERE n > 1""")
+def q_depth(spark, sf_dir):
+    return L.pyramid_depth(L.cell_pyramid(embedding_map(spark, sf_dir), max_level=6)).select(
+        F.col("depth").cast("int").alias("depth"))
+
+
+@register("l8_barnes_hut_repulsion")
+def q_bh(spark, sf_dir):
+    """Barnes-Hut repulsion (theta 0.5) on the data-derived map; no SQL form (tree walk)."""
+    state = embedding_map(spark, sf_dir)
+    box = L.bounding_cell(state)
+    cells = L.cell_pyramid(state, 12, box)
+    rep, z, _ = L.bh_forces(state, cells, 0.5, 12, box)
+    return rep.join(z, "run_id")
+
+
+@register("l1_l17_tsne_layout")
+def q_tsne(spark, sf_dir):
+    """30 iterations of exact-gradient t-SNE (perplexity 6) on the embeddings (iterative: no SQL)."""
+    from .tsne import TsneConfig, tsne
+    layout, _ = tsne(embeddings(spark, sf_dir), TsneConfig(max_iter=30, eval_every=10), run_col=None)
+    return layout
+
+
+# ----------------------------------------------------------------- experiment operators
+@register("x1_label_from_path", """
+SELECT page_id, split_part(url, '/', 4) AS label FROM pages""")
+def q_label_from_path(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.coalesce(F.try_element_at(F.split("url", "/"), F.lit(4)), F.lit("")).alias("label"))
+
+
+@register("x2_attach_labels", _with(SQL_MAP) + """
+SELECT l.id, CAST(e.label AS VARCHAR) AS label, round(l.y0, 6) + 0.0 AS y0, round(l.y1, 6) + 0.0 AS y1
+FROM lay l JOIN embeddings e ON e.vec_id = l.id""")
+def q_attach(spark, sf_dir):
+    lay = embedding_map(spark, sf_dir)
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"),
+                                                      F.col("label").cast("string").alias("label"))
+    out = X.attach_labels(lay, labels)
+    return out.select("id", "label", r6(F.col("y0")).alias("y0"), r6(F.col("y1")).alias("y1"))
