@@ -41,21 +41,19 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/corpusmap-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._corpusmap_table = path  # only frames made here may be dropped by drop_table_files
+    return out
 
 
 def drop_table_files(df: DataFrame) -> None:
-    """Delete the files behind a frame returned by :func:`cut_lineage` (no longer needed)."""
+    """Delete the table behind a frame returned by :func:`cut_lineage` (other frames: no-op)."""
+    path = getattr(df, "_corpusmap_table", None)
+    if not path:
+        return
     spark = df.sparkSession
     try:
-        paths = df.inputFiles()
-        if not paths:
-            return
-        folder = paths[0].rsplit("/", 1)[0]
-        if "corpusmap-" not in folder.rsplit("/", 1)[-1]:
-            return
-        jvm = spark._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(folder)
+        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
     except Exception:  # noqa: BLE001 - best effort clean-up
         pass
