@@ -508,3 +508,36 @@ def q_attach(spark, sf_dir):
                                                       F.col("label").cast("string").alias("label"))
     out = X.attach_labels(lay, labels)
     return out.select("id", "label", r6(F.col("y0")).alias("y0"), r6(F.col("y1")).alias("y1"))
+
+
+# ----------------------------------------------------------------- rows-only: stemming, word tokenizer, dense, sweep
+@register("a5_a6_stemmed_term_freqs")
+def q_stemmed(spark, sf_dir):
+    """Full analysis chain with Porter stems (distinct words stemmed once, joined back, re-counted)."""
+    return T.term_freqs(documents(spark, sf_dir), stem=True)
+
+
+@register("a1_a2_words_tokenizer")
+def q_words(spark, sf_dir):
+    """A1 ``words`` mode + A2 possessive: word-joiner aware tokens (Java lookaround, no RE2 form)."""
+    return T.corpus_stats(T.term_freqs(documents(spark, sf_dir), mode="words"))
+
+
+@register("w10_k1_dense_matrix")
+def q_dense(spark, sf_dir):
+    """W10 + K1: dense tf-3 × idf-0 rows (absent terms take 0.5·idf) as matrix text lines."""
+    from ..sources.sinks import matrix_lines
+    from .termvect import TermVectConfig, dense_matrix, term_vectors
+    cfg = TermVectConfig(min_df=20, max_df=1000, exclude=BAND_EXCLUDE, tf_calc=3, idf_calc=0)
+    return matrix_lines(dense_matrix(term_vectors(documents(spark, sf_dir), cfg), cfg))
+
+
+@register("x3_x4_sweep_2x2x2")
+def q_sweep(spark, sf_dir):
+    """Batched sweep over tf {0,3} × idf {0,1} × perplexity {6,3}, 10 iterations, docs labelled by lang."""
+    from .tsne import TsneConfig
+    doc = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"))
+    params = X.grid(spark, (0, 3), (0, 1), (6.0, 3.0))
+    result, _ = X.sweep(doc, labels, params, TsneConfig(max_iter=10, eval_every=100))
+    return result
