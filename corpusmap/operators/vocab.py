@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.util import dense_ids
+from ..plans.util import cut_lineage, dense_ids
 
 
 def term_predicate(min_df: int = 2, max_df: int | None = None, exclude: str | None = None) -> Column:
@@ -26,7 +26,8 @@ def vocabulary(stats: DataFrame, min_df: int = 2, max_df: int | None = None,
     """surviving terms; ``term_id`` = position in lexical (UTF-8 byte) order."""
     vocab = stats.filter(term_predicate(min_df, max_df, exclude))
     if with_ids:
-        vocab = dense_ids(vocab, "term", "term_id")
+        # materialise the (small) surviving terms once, so ranking never re-runs the analysis
+        vocab = dense_ids(cut_lineage(vocab), "term", "term_id")
     return vocab
 
 

@@ -42,6 +42,12 @@ def documents(spark, sf_dir):
     return corpus_from_table(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def postings(doc):
+    """The analysed corpus materialised once (the reusable index, S9), read by every later stage."""
+    from .util import cut_lineage
+    return cut_lineage(T.term_freqs(doc))
+
+
 # ----------------------------------------------------------------- SQL fragments
 _STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
 _TOKEN_RE = TOKEN_PATTERNS["simple"]
@@ -99,7 +105,7 @@ def q_doc_length(spark, sf_dir):
 @register("f1_f5_vocabulary", _with(SQL_TERMS, _vocab_cte("df >= 2")) + """
 SELECT term_id, term, df, ttf FROM vocab""")
 def q_vocabulary(spark, sf_dir):
-    tf = T.term_freqs(documents(spark, sf_dir))
+    tf = postings(documents(spark, sf_dir))
     return V.vocabulary(T.corpus_stats(tf), min_df=2).select("term_id", "term", "df", "ttf")
 
 
@@ -143,7 +149,7 @@ _IDF_SQL = {0: "1.0 + ln(n_docs / (v.df + 1.0))", 1: "ln(n_docs::DOUBLE / v.df)"
 @register("w9_tfidf_default", _tfidf_sql(_TF_SQL[0], _IDF_SQL[0]))
 def q_tfidf_default(spark, sf_dir):
     doc = documents(spark, sf_dir)
-    tf = T.term_freqs(doc)
+    tf = postings(doc)
     vocab = V.vocabulary(T.corpus_stats(tf), min_df=2)
     w = W.tfidf(tf, vocab, T.corpus_size(doc), tf_calc=0, idf=0)
     return w.select("doc_id", "term_id", "term", r6(F.col("w")).alias("w"))
@@ -163,7 +169,7 @@ FROM tfm t JOIN vocab v ON t.term = v.term CROSS JOIN ndocs CROSS JOIN params p"
 @register("w11_tfidf_sweep16", _SWEEP_SQL)
 def q_tfidf_sweep(spark, sf_dir):
     doc = documents(spark, sf_dir)
-    tf = T.term_freqs(doc)
+    tf = postings(doc)
     vocab = V.vocabulary(T.corpus_stats(tf), min_df=20, max_df=1000, exclude=BAND_EXCLUDE)
     w = W.tfidf_sweep(tf, vocab, T.corpus_size(doc), W.weighting_grid(spark))
     return w.select("run_id", "doc_id", "term_id", "term", r6(F.col("w")).alias("w"))
@@ -174,7 +180,7 @@ for _t in range(4):
         def _mk(t=_t, i=_i):
             def q(spark, sf_dir):
                 doc = documents(spark, sf_dir)
-                tf = T.term_freqs(doc)
+                tf = postings(doc)
                 vocab = V.vocabulary(T.corpus_stats(tf), min_df=2)
                 w = W.tfidf(tf, vocab, T.corpus_size(doc), tf_calc=t, idf=i)
                 return w.select("doc_id", "term_id", "term", r6(F.col("w")).alias("w"))
