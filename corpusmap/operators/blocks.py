@@ -66,3 +66,20 @@ def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         diff = a[ii] - b[jj]
         d[ii, jj] = np.einsum("ij,ij->i", diff, diff)
     return d
+
+
+MAX_PAIR_PARTITIONS = 20_000
+
+
+def spread_groups(rows: DataFrame, n_blocks: int, n_runs: int = 1, keys=("run_id", "_bi", "_bj")) -> DataFrame:
+    """Hash-partition block-pair rows into about one partition per group.
+
+    Block-pair groups are few but CPU-heavy; left to AQE, a small shuffle
+    would be coalesced into a single task that runs every GEMM serially.
+    An explicit repartition on the grouping keys is kept as is and already
+    satisfies the following ``groupBy(...).applyInPandas``.
+    """
+    groups = max(1, int(n_runs)) * n_blocks * (n_blocks + 1) // 2
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n = max(1, min(groups, max(cores * 4, min(groups, MAX_PAIR_PARTITIONS)), MAX_PAIR_PARTITIONS))
+    return rows.repartition(n, *keys)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import choose_blocks, pair_rows, sq_dists, vec_matrix
+from .blocks import choose_blocks, pair_rows, spread_groups, sq_dists, vec_matrix
 
 KNN_SCHEMA = "run_id string, src long, dst long, d2 double"
 
@@ -106,8 +106,8 @@ def knn(points: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", run
     if k < 1:
         raise ValueError("k must be >= 1")
     p = _prep(points, id_col, vec_col, run_col)
-    n = p.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
-    nb = choose_blocks(int(n), block_rows)
-    cand = pair_rows(p, nb, "id").groupBy("run_id", "_bi", "_bj").applyInPandas(_knn_kernel(int(k)), KNN_SCHEMA)
+    sizes = p.groupBy("run_id").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    nb = choose_blocks(int(sizes[0] or 0), block_rows)
+    cand = spread_groups(pair_rows(p, nb, "id"), nb, int(sizes[1] or 1)).groupBy("run_id", "_bi", "_bj").applyInPandas(_knn_kernel(int(k)), KNN_SCHEMA)
     w = Window.partitionBy("run_id", "src").orderBy("d2", "dst")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(k))
