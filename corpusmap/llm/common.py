@@ -7,10 +7,15 @@ the caller wants whole rows back, they travel as one struct column named ``row``
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 #: The words of the contracts: maximal runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -41,3 +46,14 @@ def task_number() -> int:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def new_folder(spark: SparkSession, kind: str, folder: str | None = None) -> str:
+    """The URI of a folder that all executors share: ``folder``, or a new one in the checkpoint folder."""
+    uri = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    uri = uri if "://" in uri else f"file://{uri}"
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path)
+    return uri

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import exact, mixing, tokens
+from . import decontam, exact, mixing, secret_scan, simhash, tokens, warc
 
-MODULES = (tokens, exact, mixing)
+MODULES = (tokens, simhash, exact, secret_scan, decontam, mixing, warc)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

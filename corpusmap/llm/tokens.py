@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.util import cut_lineage
-from ..session import ensure_checkpoint_dir
-from .common import partitions, picked, task_number
+from .common import new_folder, partitions, picked, task_number
 
 MAGIC = b"CMTOKEN1"
 HEADER = "<8sII"
@@ -308,9 +307,7 @@ def token_files(df: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
     folder in the checkpoint folder unless ``out_uri`` names one.
     """
     spark = df.sparkSession
-    out_uri = _as_uri(out_uri or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}")
-    fs, path = pafs.FileSystem.from_uri(out_uri)
-    fs.create_dir(path)
+    out_uri = new_folder(spark, "tokens", out_uri)
     shards = cut_lineage(write_tokens(df, tokenizer_path, out_uri, end_id, id_col, text_col))
     # one row for each shard file: their prefix sums are small whatever the corpus
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
@@ -320,12 +317,6 @@ def token_files(df: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str
         "id", (F.col("offset") + F.col("first")).alias("start"), "n_tokens", "ids_crc32", "shard", "uri")
 
 
-def _as_uri(path: str) -> str:
-    if path.startswith("file:/") and not path.startswith("file://"):
-        return "file://" + path[len("file:"):]
-    return path if "://" in path else f"file://{path}"
-
-
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` as bit-packed byte-level BPE ids, read back from the files."""
     import public_tokenizers
