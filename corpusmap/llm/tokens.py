@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from .common import new_folder, partitions, picked, task_number
 MAGIC = b"CMTOKEN1"
 HEADER = "<8sII"
 FOOTER = "<QQQQQQ8s"
-UNSAFE = re.compile(r"\0|(?:^|[^\w!-~]) ")  # a space after something else than a letter, digit or ASCII sign
+ENDS_SAFE, ENDS_WORD, IS_SIGN = 1, 2, 4  # kinds of pieces
+PLAIN = re.compile(r" ?[\w!-~](?:\S*[\w!-~])?")
 BLOCK_IDS = 8192  # a multiple of 8, so that blocks end at whole bytes
 
 
@@ -130,57 +132,67 @@ class Reader:
 class UnitEncoder:
     """Encodes texts with a byte-level BPE tokenizer, piece by piece, each different piece once.
 
-    The tokenizer starts a new pre-token at any white space that follows something else,
-    whatever comes before or after.  So a text may be cut before each space that follows
-    a letter, digit or ASCII sign, and the ids of the pieces, joined, are the ids of the
-    text.  Texts that have another kind of character before a space (a second space, a
-    line end) are encoded whole.  Pieces are kept up to ``limit`` and then forgotten.
+    The tokenizer's first step always starts a new pre-token at white space that follows
+    something else, after a lone line end, and at a comma or full stop that follows a
+    letter or digit.  A text in which each space and line end follows a letter, digit or
+    ASCII sign is therefore cut there, and the ids of the pieces, joined, are the ids of
+    the text.  Any other text is encoded whole.  Pieces are kept up to ``limit`` and then
+    forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 700_000, together: int = 2000):
+    def __init__(self, path: str, limit: int = 300_000, together: int = 2000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        line_end = self._ids("a\nb")
+        self.line_end = line_end[1] if len(line_end) == 3 and self._ids("\n") == line_end[1:2] else None
         self.limit, self.together = limit, together
         self._forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self):
         self.known = _Places()
         self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _cut(self, text: str) -> np.ndarray:
+        """The places of the pieces of a text: the finest cut that is safe."""
+        if "\0" in text:
+            return self._places([text])
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        for pieces in (cut.replace(",", "\0,").replace(".", "\0.").split("\0"), cut.split("\0"), [text]):
+            at = self._places(pieces)
+            kind = np.frombuffer(self.known.kinds, np.uint8)[at]
+            if len(at) == 1 or not (((kind[:-1] & ENDS_SAFE) == 0) | ((kind[1:] & IS_SIGN) > 0) & ((kind[:-1] & ENDS_WORD) == 0)).any():
+                return at
+
     def _learn(self):
-        """Encode the new pieces, many in one text with a special token between them."""
+        """Encode the new pieces, plain ones together in one text with a line end between them."""
         new = self.known.new
         if not new:
             return
-        mark_id, mark = next(iter(self.special.items()), (None, None))
-        found = np.zeros(len(new), np.int64)
-        apart = [i for i, u in enumerate(new) if mark is None or any(s in u for s in self.special.values())]
-        alone = set(apart)
-        joint = [i for i in range(len(new)) if i not in alone] if apart else list(range(len(new)))
-        groups = [joint[i:i + self.together] for i in range(0, len(joint), self.together)]
-        parts, where = [], []
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([mark.join(new[i] for i in g) for g in groups],
-                                                                 add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == mark_id), len(ids))
-            found[g] = np.diff(ends, prepend=-1) - 1
-            parts.append(ids[ids != mark_id])
-            where += g
-        for i in apart:
-            ids = np.array(self.tokenizer.encode(new[i], add_special_tokens=False).ids, np.uint32)
-            found[i] = len(ids)
-            parts.append(ids)
-            where.append(i)
-        if apart:  # back into the order of the pieces
-            n, where = found[where], np.array(where)
-            at = np.cumsum(n) - n
-            order = np.argsort(where)
-            n, at = n[order], at[order]
-            parts = [np.concatenate(parts)[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]]
-        self.flat = np.concatenate([self.flat, *parts])
-        self.length = np.concatenate([self.length, found])
+        plain = [self.line_end is not None and PLAIN.fullmatch(u) is not None and not any(s in u for s in self.special) for u in new]
+        joint = [i for i, p in enumerate(plain) if p]
+        ids = [None] * len(new)
+        for g in (joint[i:i + self.together] for i in range(0, len(joint), self.together)):
+            got = np.array(self._ids("\n".join([new[i] for i in g])), np.uint32)
+            ends = np.append(np.flatnonzero(got == self.line_end), len(got)).tolist()
+            if len(ends) != len(g):
+                raise ValueError("the tokenizer doesn't keep line ends apart")
+            a = 0
+            for i, z in zip(g, ends):
+                ids[i] = got[a:z]
+                a = z + 1
+        other = [i for i, p in enumerate(plain) if not p]
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, np.uint32)
+        self.flat = np.concatenate([self.flat, *ids])
+        self.length = np.concatenate([self.length, np.fromiter(map(len, ids), np.int64, len(ids))])
         self.known.new = []
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +201,7 @@ class UnitEncoder:
             self._forget()
         places = []
         for text in texts:
-            units = [text] if UNSAFE.search(text) else text.replace(" ", "\0 ").split("\0")
-            places.append(np.fromiter(map(self.known.__getitem__, units), np.int64, len(units)))
+            places.append(self._cut(text))
         self._learn()
         begin = np.cumsum(self.length) - self.length
         out, sizes = [], []
@@ -206,15 +217,18 @@ class UnitEncoder:
 
 
 class _Places(dict):
-    """Piece -> its place; a new piece gets the next place and is noted in ``new``."""
+    """Piece -> its place; a new piece gets the next place and is noted in ``new``, and in ``kinds`` what it may stand next to."""
 
     def __init__(self):
         super().__init__()
-        self.new = []
+        self.new, self.kinds = [], bytearray()
 
     def __missing__(self, piece):
         n = self[piece] = len(self)
         self.new.append(piece)
+        last = piece[-1:]
+        word = last.isalnum()
+        self.kinds.append(ENDS_WORD * word | ENDS_SAFE * (word or "!" <= last <= "~" or piece == "\n") | IS_SIGN * (piece[:1] in (",", ".")))
         return n
 
 
@@ -247,15 +261,15 @@ def write_tokens(df: DataFrame, tokenizer_path: str, out_uri: str, end_id: int,
         uri = f"{out_uri}/shard-{shard:06d}.tok"
         writer = None
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            i = 0
+            ids, texts, i = b.column(0).to_pylist(), b.column(1), 0
+            size = np.asarray(pc.binary_length(texts))
             while i < len(texts):
                 j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j]) <= batch_chars):
-                    chars += len(texts[j])
+                while j < len(texts) and (j == i or chars + size[j] <= batch_chars):
+                    chars += size[j]
                     j += 1
                 writer = writer or Writer(uri, bits)
-                writer.add(ids[i:j], *_encoder(tokenizer_path).encode(texts[i:j], end_id))
+                writer.add(ids[i:j], *_encoder(tokenizer_path).encode(texts[i:j].to_pylist(), end_id))
                 i = j
         if writer:
             writer.close()
