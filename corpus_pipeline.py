@@ -1,13 +1,65 @@
-"""The training-data pipeline over ``documents`` (stages are added as their operators land)."""
+"""The training-data pipeline over ``documents``.
+
+Stages take ``(spark, docs, sf_dir)``; all but the last give back rows with the columns
+of ``docs``.  Extra columns travel along whatever they are called.  An empty table passes
+every stage; null texts count as empty.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmap.llm import decontam, mixing, simhash, tokens, toxicity
+from corpusmap.plans.util import cut_lineage
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5; the classifier learns from the confirmed ones among ``docs``."""
+    score = toxicity.classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < 0.5)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component: that with the smallest id."""
+    return simhash.keep_one(docs, shingle=3, max_bits=3)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    name = "_matches" + "_" * max(map(len, docs.columns))  # longer than any other name
+    found = decontam.with_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=name)
+    return found.filter(F.size(name) == 0).drop(name)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them: weights 5, 2, 1 by source, at most 3 times each."""
+    mixed = mixing.mix(docs, mixing.repeating(5, 2, 1), carry=True).filter("repeats > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("row.*")
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files of all that is left, read back: a row for each document."""
+    out = tokens.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("simhash", remove_near_copies),
+    ("decontamination", remove_benchmark),
+    ("mixing", mix_sources),
+    ("tokens", write_token_files),
+]
+ORACLE_SQL = None  # hashing, training and tokenizing are not SQL; tests/llm compares with a brute-force version
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut_lineage(docs)
     return docs

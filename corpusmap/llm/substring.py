@@ -78,6 +78,7 @@ class _Windows:
         self.inside = self.doc[:n] == self.doc[window - 1:][:n]
         grams = mix(rolling(lanes[:, 0], gram, BASES[0])) if len(lanes) >= gram else np.zeros(0, np.uint64)
         # grams across documents and their windows never count
+        self.grams, self.span = grams, span
         self.least, chosen = anchors(grams, span, self.inside)
         self.chosen = grams[chosen]
 
