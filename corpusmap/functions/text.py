@@ -17,7 +17,7 @@ ENGLISH_STOP_WORDS = (
     "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the",
     "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
 )
-# --- fixed values: longest token kept by the tokenizer ----------------------------
+# --- fixed values: longest token the reference's analyzer keeps (``max_length``; off by default)
 MAX_TOKEN_LENGTH = 255
 
 # Tokenizer patterns.  ``simple`` is portable (Java regex and RE2 agree on it),
@@ -36,13 +36,13 @@ TOKEN_PATTERNS = {
 POSSESSIVE_PATTERN = r"['’＇][sS]$"
 
 
-def tokenize(text: Column | str, mode: str = "simple") -> Column:
-    """A1: array of tokens in text order; tokens longer than 255 chars are dropped."""
+def tokenize(text: Column | str, mode: str = "simple", max_length: int | None = None) -> Column:
+    """A1: array of tokens in text order; with ``max_length``, longer tokens are dropped."""
     if mode not in TOKEN_PATTERNS:
         raise ValueError(f"unknown tokenizer mode {mode!r}; expected one of {sorted(TOKEN_PATTERNS)}")
     col = F.col(text) if isinstance(text, str) else text
     toks = F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(TOKEN_PATTERNS[mode]), 0)
-    return F.filter(toks, lambda t: F.length(t) <= MAX_TOKEN_LENGTH)
+    return toks if max_length is None else F.filter(toks, lambda t: F.length(t) <= int(max_length))
 
 
 def strip_possessive(tok: Column) -> Column:
@@ -51,14 +51,14 @@ def strip_possessive(tok: Column) -> Column:
 
 
 def analyze_tokens(text: Column | str, mode: str = "simple", possessive: bool = True,
-                   lowercase: bool = True, stop_words=ENGLISH_STOP_WORDS) -> Column:
+                   lowercase: bool = True, stop_words=ENGLISH_STOP_WORDS, max_length: int | None = None) -> Column:
     """A1∘A2∘A3∘A4 as one array expression: tokens -> possessive -> lower -> stop filter.
 
     Order matters (possessive before lower-case, stop words after lower-case).
     Stemming, when wanted, is applied to the distinct surviving words by
     :func:`corpusmap.operators.terms.term_freqs`.
     """
-    toks = tokenize(text, mode)
+    toks = tokenize(text, mode, max_length)
     if possessive and mode != "simple":
         # ``simple`` tokens never contain an apostrophe, so the rule is a no-op there.
         toks = F.transform(toks, strip_possessive)

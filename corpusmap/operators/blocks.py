@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK_ROWS = 1024
+RECOMPUTE_VALUES = 1 << 22  # values of a block recomputed at once
 
 
 def choose_blocks(n_points: int, block_rows: int = DEFAULT_BLOCK_ROWS, min_groups: int = 16) -> int:
@@ -46,29 +47,97 @@ def vec_matrix(series) -> np.ndarray:
     """Stack a pandas Series of equal-length arrays into a float64 matrix."""
     if len(series) == 0:
         return np.zeros((0, 0))
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in series.values])
-    return m
+    return np.stack([np.asarray(v, dtype=np.float64) for v in getattr(series, "values", series)])
 
 
-def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances |a|²+|b|²-2ab (one GEMM), clamped at 0.
+class DensePoints:
+    """Rows of equal length."""
+
+    def __init__(self, vecs):
+        self.x = vec_matrix(vecs)
+        self.norms = np.einsum("ij,ij->i", self.x, self.x)
+        self.width = self.x.shape[1]
+
+    def __len__(self):
+        return len(self.x)
+
+    def dots(self, other) -> np.ndarray:
+        return self.x @ other.x.T
+
+    def exact(self, rows, other, cols) -> np.ndarray:
+        """Squared distances of the pairs, from differences, in bounded memory."""
+        out = np.empty(len(rows))
+        step = max(1, RECOMPUTE_VALUES // max(1, self.width))
+        for k in range(0, len(rows), step):
+            diff = self.x[rows[k:k + step]] - other.x[cols[k:k + step]]
+            out[k:k + step] = np.einsum("ij,ij->i", diff, diff)
+        return out
+
+
+SLAB = 4096  # columns made dense at once
+
+
+class SparsePoints:
+    """Rows as (columns, values); only SLAB columns at a time are made dense."""
+
+    def __init__(self, columns, values):
+        sizes = np.array([len(c) for c in columns], np.int64)
+        self.row = np.repeat(np.arange(len(sizes)), sizes)
+        self.col = np.concatenate([*columns, np.zeros(0)]).astype(np.int64)
+        self.val = np.concatenate([*values, np.zeros(0)]).astype(np.float64)
+        self.n = len(sizes)
+        self.width = int(self.col.max()) + 1 if len(self.col) else 0
+        self.norms = np.bincount(self.row, self.val * self.val, self.n)
+        by = np.argsort(self.col, kind="stable")
+        self.row, self.col, self.val = self.row[by], self.col[by], self.val[by]
+
+    def __len__(self):
+        return self.n
+
+    def slab(self, first: int) -> np.ndarray:
+        a, z = np.searchsorted(self.col, [first, first + SLAB])
+        out = np.zeros((self.n, SLAB))
+        out[self.row[a:z], self.col[a:z] - first] = self.val[a:z]
+        return out
+
+    def dots(self, other) -> np.ndarray:
+        out = np.zeros((self.n, other.n))
+        for first in range(0, min(self.width, other.width), SLAB):
+            out += self.slab(first) @ other.slab(first).T
+        return out
+
+    def exact(self, rows, other, cols) -> np.ndarray:
+        out = np.zeros(len(rows))
+        step = max(1, RECOMPUTE_VALUES // SLAB)
+        for first in range(0, max(self.width, other.width), SLAB):
+            a, b = self.slab(first), other.slab(first)
+            for k in range(0, len(rows), step):
+                diff = a[rows[k:k + step]] - b[cols[k:k + step]]
+                out[k:k + step] += np.einsum("ij,ij->i", diff, diff)
+        return out
+
+
+def pair_dists(a, b) -> np.ndarray:
+    """Squared Euclidean distances |a|²+|b|²-2ab, clamped at 0.
 
     Entries that are tiny relative to the norms (cancellation territory,
     e.g. duplicate points) are recomputed exactly from differences.
     """
-    na = np.einsum("ij,ij->i", a, a)
-    nb = np.einsum("ij,ij->i", b, b)
-    d = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
+    scale = a.norms[:, None] + b.norms[None, :]
+    d = scale - 2.0 * a.dots(b)
     np.maximum(d, 0.0, out=d)
-    scale = na[:, None] + nb[None, :]
     ii, jj = np.nonzero(d <= 1e-9 * scale)
     if len(ii):
-        diff = a[ii] - b[jj]
-        d[ii, jj] = np.einsum("ij,ij->i", diff, diff)
+        d[ii, jj] = a.exact(ii, b, jj)
     return d
 
 
-MAX_PAIR_PARTITIONS = 20_000
+def sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """V3: :func:`pair_dists` of two matrices."""
+    return pair_dists(DensePoints(a), DensePoints(b))
+
+
+MAX_PAIR_PARTITIONS = 20_000  # of the plan only: beyond it several groups share a task
 
 
 def spread_groups(rows: DataFrame, n_blocks: int, n_runs: int = 1, keys=("run_id", "_bi", "_bj")) -> DataFrame:

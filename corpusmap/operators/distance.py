@@ -1,8 +1,9 @@
 """Matrix preparation and exact nearest neighbours.
 
 ``knn`` runs on block pairs: each group computes one GEMM block of squared
-distances, keeps a partial top-k per point (both directions), and emits
-only those candidates.  The final top-k per point is a
+distances and keeps a partial top-k per point (both directions): all that
+are nearer than the k-th exact distance, and of those at that distance the
+smallest ids.  Only these candidates are emitted.  The final top-k per point is a
 ``row_number() <= k`` window, which Spark plans as ``WindowGroupLimit``
 (partial top-k before the shuffle).  Candidates per point are bounded by
 ``n_blocks * k``.  Self is excluded by id, ties are broken by ``dst``.
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .blocks import choose_blocks, pair_rows, spread_groups, sq_dists, vec_matrix
+from .blocks import DensePoints, SparsePoints, choose_blocks, pair_dists, pair_rows, spread_groups
 
 KNN_SCHEMA = "run_id string, src long, dst long, d2 double"
 
@@ -61,7 +62,29 @@ def center(points: DataFrame, id_col: str = "id", vec_col: str = "vec", run_col:
     return out.select("run_id", "id", vec.alias("vec"))
 
 
-def _knn_kernel(k: int, margin: int = 8):
+def _exact_top(d, xs, xt, idt, k):
+    """Per row of ``d`` the k best: ``(rows, cols, exact d2)``; ties at the k-th place go to the smallest ids.
+
+    ``d`` (one GEMM) is off by rounding, so every column within that error of
+    the k-th value is compared by its exact distance.
+    """
+    k = min(k, d.shape[1])
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1:k]
+    slack = 1e-9 * (xs.norms[:, None] + xt.norms.max()) + 1e-12 * np.where(np.isfinite(kth), kth, 0.0)
+    out = []
+    for a in range(0, len(d), 64):  # a few rows at a time: a tie may hold every column
+        near = (d[a:a + 64] <= kth[a:a + 64] + slack[a:a + 64]) & np.isfinite(d[a:a + 64])
+        rows, cols = np.nonzero(near)
+        rows += a
+        exact = xs.exact(rows, xt, cols)
+        by = np.lexsort((idt[cols], exact, rows))
+        rows, cols, exact = rows[by], cols[by], exact[by]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k  # rows are sorted
+        out.append((rows[keep], cols[keep], exact[keep]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def _knn_kernel(k: int):
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         run_id = pdf["run_id"].iloc[0]
         diag = pdf["_bi"].iloc[0] == pdf["_bj"].iloc[0]
@@ -70,26 +93,14 @@ def _knn_kernel(k: int, margin: int = 8):
         out = []
         if len(a) == 0 or len(b) == 0:
             return pd.DataFrame(columns=["run_id", "src", "dst", "d2"])
-        xa, xb = vec_matrix(a["vec"]), vec_matrix(b["vec"])
+        xa, xb = _points(a), _points(b)
         ida, idb = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
-        d = sq_dists(xa, xb)
+        d = pair_dists(xa, xb)
         d[ida[:, None] == idb[None, :]] = np.inf  # never one's own neighbour
 
         def emit(dm, xs, xt, ids, idt):
-            m = min(k + margin, dm.shape[1])
-            if m <= 0:
-                return
-            cand = np.argpartition(dm, m - 1, axis=1)[:, :m] if m < dm.shape[1] else \
-                np.tile(np.arange(dm.shape[1]), (dm.shape[0], 1))
-            rows = np.repeat(np.arange(dm.shape[0]), cand.shape[1])
-            cols = cand.ravel()
-            ok = np.isfinite(dm[rows, cols])
-            rows, cols = rows[ok], cols[ok]
-            diff = xs[rows] - xt[cols]
-            exact = np.einsum("ij,ij->i", diff, diff)   # exact values for the final order
-            frame = pd.DataFrame({"src": ids[rows], "dst": idt[cols], "d2": exact})
-            frame = frame.sort_values(["src", "d2", "dst"]).groupby("src", sort=False).head(k)
-            out.append(frame)
+            rows, cols, exact = _exact_top(dm, xs, xt, idt, k)
+            out.append(pd.DataFrame({"src": ids[rows], "dst": idt[cols], "d2": exact}))
 
         emit(d, xa, xb, ida, idb)
         if not diag:
@@ -100,14 +111,54 @@ def _knn_kernel(k: int, margin: int = 8):
     return kernel
 
 
+def _points(pdf: pd.DataFrame):
+    return DensePoints(pdf["vec"]) if "vec" in pdf.columns else SparsePoints(pdf["terms"].values, pdf["ws"].values)
+
+
 def knn(points: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", run_col: str | None = "run_id",
         block_rows: int = 1024) -> DataFrame:
     """``(run_id, src, dst, d2, rank)``: the k nearest other points of every point (squared distance)."""
+    return _nearest(_prep(points, id_col, vec_col, run_col), k, block_rows)
+
+
+def knn_sparse(rows: DataFrame, k: int, block_rows: int = 1024) -> DataFrame:
+    """N1 on ``rows(run_id, id, terms array<bigint>, ws array<double>)``: sparse vectors stay sparse until a
+    task makes a few columns of its two blocks dense."""
+    return _nearest(rows.select("run_id", "id", "terms", "ws"), k, block_rows)
+
+
+def _nearest(p: DataFrame, k: int, block_rows: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be >= 1")
-    p = _prep(points, id_col, vec_col, run_col)
     sizes = p.groupBy("run_id").count().agg(F.max("count"), F.count(F.lit(1))).first()
     nb = choose_blocks(int(sizes[0] or 0), block_rows)
-    cand = spread_groups(pair_rows(p, nb, "id"), nb, int(sizes[1] or 1)).groupBy("run_id", "_bi", "_bj").applyInPandas(_knn_kernel(int(k)), KNN_SCHEMA)
+    rows = spread_groups(pair_rows(p, nb, "id"), nb, int(sizes[1] or 1))
+    cand = rows.groupBy("run_id", "_bi", "_bj").applyInPandas(_knn_kernel(int(k)), KNN_SCHEMA)
     w = Window.partitionBy("run_id", "src").orderBy("d2", "dst")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(k))
+
+
+def sparse_max_scale(weights: DataFrame, base: DataFrame, n_points: DataFrame) -> DataFrame:
+    """V2 of a sparse matrix: ``(run_id, max_x)`` = largest centred value, floor 0.
+
+    ``weights(run_id, doc_id, term_id, w)`` has the present cells, ``base(run_id,
+    term_id, base)`` the value of the absent ones, ``n_points(run_id, n)`` the rows.
+    """
+    cols = weights.groupBy("run_id", "term_id").agg(F.sum("w").alias("s"), F.max("w").alias("mx"), F.count(F.lit(1)).alias("nnz"))
+    c = base.join(cols, ["run_id", "term_id"], "left").join(F.broadcast(n_points), "run_id")  # one row per run
+    nnz, absent = F.coalesce("nnz", F.lit(0)), F.col("base")
+    mean = (F.coalesce("s", F.lit(0.0)) + (F.col("n") - nnz) * absent) / F.col("n")
+    top = F.when(nnz < F.col("n"), F.greatest(F.coalesce("mx", absent), absent)).otherwise(F.col("mx"))
+    return c.groupBy("run_id").agg(F.greatest(F.lit(0.0), F.max(top - mean)).alias("max_x"))
+
+
+def sparse_rows(weights: DataFrame, base: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(run_id, id, terms, ws)``: per doc its cells less the absent value, which cancels in every difference.
+
+    ``docs(run_id, doc_id)`` lists the rows; one without cells has empty arrays.
+    """
+    delta = weights.join(base, ["run_id", "term_id"]).select("run_id", "doc_id", F.struct("term_id", (F.col("w") - F.col("base")).alias("w")).alias("c"))
+    per = delta.groupBy("run_id", "doc_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    out = docs.join(per, ["run_id", "doc_id"], "left").withColumn("c", F.coalesce("c", F.array().cast("array<struct<term_id:bigint,w:double>>")))
+    return out.select("run_id", F.col("doc_id").cast("long").alias("id"), F.transform("c", lambda x: x["term_id"]).alias("terms"),
+                      F.transform("c", lambda x: x["w"]).alias("ws"))

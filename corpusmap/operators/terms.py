@@ -15,14 +15,14 @@ from pyspark.sql.window import Window
 
 from ..functions.stem import stem_udf
 from ..functions.text import ENGLISH_STOP_WORDS, analyze_tokens, run_counts, run_ends
-from ..plans.util import bounded_broadcast, cut_lineage, spread_scan
+from ..plans.util import bounded_broadcast, cut_lineage
 
 
 def _row_term_counts(doc: DataFrame, id_col: str, text_col: str, mode: str, possessive: bool,
-                     stop_words) -> DataFrame:
-    d = spread_scan(doc.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")))
+                     stop_words, max_length) -> DataFrame:
+    d = doc.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     d = d.select("doc_id", F.sort_array(analyze_tokens("_text", mode=mode, possessive=possessive,
-                                                       stop_words=stop_words)).alias("_tok"))
+                                                       stop_words=stop_words, max_length=max_length)).alias("_tok"))
     d = d.withColumn("_end", run_ends(F.col("_tok")))
     d = d.select("doc_id", run_counts(F.col("_tok"), F.col("_end")).alias("_runs"))
     d = d.withColumn("max_tf", F.array_max(F.transform("_runs", lambda r: r["tf"])))
@@ -34,28 +34,28 @@ def _row_term_counts(doc: DataFrame, id_col: str, text_col: str, mode: str, poss
             .select("doc_id", F.col("_r.term").alias("term"), F.col("_r.tf").alias("tf"), "max_tf"))
 
 
-def stem_table(words: DataFrame, word_col: str = "word") -> DataFrame:
-    """(word, term): A5 applied once per distinct word, Arrow-batched."""
-    return words.select(F.col(word_col).alias("word")).distinct().select(
-        "word", stem_udf(F.col("word")).alias("term"))
+def stem_table(words: DataFrame, word_col: str = "word", stemmer=stem_udf) -> DataFrame:
+    """(word, term): A5 applied once per distinct word (the default stemmer Arrow-batched)."""
+    return words.select(F.col(word_col).alias("word")).distinct().select("word", stemmer(F.col("word")).alias("term"))
 
 
 def term_freqs(doc: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode: str = "simple",
-               possessive: bool = True, stop_words=ENGLISH_STOP_WORDS, stem: bool = False) -> DataFrame:
+               possessive: bool = True, stop_words=ENGLISH_STOP_WORDS, stem=False, max_length: int | None = None) -> DataFrame:
     """T1+T2: (doc_id, term, tf, max_tf); docs without terms have no rows.
 
-    With ``stem=True`` the distinct words are stemmed once (A5), joined back
-    (broadcast only when the checked word table is small) and re-counted per
+    With ``stem=True`` (or a column function of your own) the documents are
+    tokenised once and written, the distinct words are stemmed once (A5), joined
+    back (broadcast only when the checked word table is small) and re-counted per
     doc; that path shuffles the postings once, by ``doc_id`` only, so the
     per-doc ``max_tf`` window reuses the same partitioning.
     """
-    tf = _row_term_counts(doc, id_col, text_col, mode, possessive, stop_words)
+    tf = _row_term_counts(doc, id_col, text_col, mode, possessive, stop_words, max_length)
     if not stem:
         return tf
-    words = cut_lineage(stem_table(tf.select(F.col("term").alias("word"))))
+    tf = cut_lineage(tf.select("doc_id", F.col("term").alias("word"), "tf"))
+    words = cut_lineage(stem_table(tf, stemmer=stem if callable(stem) else stem_udf))
     words, _ = bounded_broadcast(words)
-    stemmed = (tf.select("doc_id", F.col("term").alias("word"), "tf")
-               .join(words, "word")
+    stemmed = (tf.join(words, "word")
                .repartition("doc_id")
                .groupBy("doc_id", "term").agg(F.sum("tf").cast("long").alias("tf")))
     return stemmed.withColumn("max_tf", F.max("tf").over(Window.partitionBy("doc_id")))

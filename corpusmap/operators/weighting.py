@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,6 @@ from ..functions.weights import (absent_tf_weight, check_code, idf_weight, idf_w
 from ..plans.util import bounded_broadcast
 
 IdfSpec = int | Callable[[Column, Column], Column]
-MAX_SWEEP_SETTINGS = 10_000
-MAX_DENSE_TERMS = 200_000
 
 
 def with_idf(vocab: DataFrame, n_docs: DataFrame, idf: IdfSpec = 0) -> DataFrame:
@@ -53,15 +53,13 @@ def weighting_grid(spark, tf_calcs=(0, 1, 2, 3), idf_calcs=(0, 1, 2, 3)) -> Data
 
 def tfidf_sweep(tf: DataFrame, vocab: DataFrame, n_docs: DataFrame, params: DataFrame) -> DataFrame:
     """Every (tf_calc, idf_calc) setting of ``params`` in one pass, keyed by ``run_id``."""
-    p, small = bounded_broadcast(params.select("run_id", "tf_calc", "idf_calc"), MAX_SWEEP_SETTINGS)
-    if not small:
-        raise ValueError(f"more than {MAX_SWEEP_SETTINGS} weighting settings")
-    v = vocab.crossJoin(F.broadcast(n_docs.select("n_docs"))).crossJoin(p)
-    v = v.select("run_id", "tf_calc", "term", "term_id",
-                 idf_weight_by_code(F.col("idf_calc"), F.col("df"), F.col("n_docs")).alias("idf"))
-    v, _ = bounded_broadcast(v)
-    w = tf_weight_by_code(F.col("tf_calc"), F.col("tf"), F.col("max_tf")) * F.col("idf")
-    return tf.join(v, "term").select("run_id", "doc_id", "term_id", "term", w.alias("w"))
+    # the vocabulary joins once; a term's settings are made after the join, beside it
+    v, _ = bounded_broadcast(vocab.select("term", "term_id", "df").crossJoin(F.broadcast(n_docs.select("n_docs"))))
+    settings = params.agg(F.collect_list(F.struct("run_id", "tf_calc", "idf_calc")).alias("settings"))  # one row: the grid
+    rows = tf.join(v, "term").crossJoin(F.broadcast(settings)).withColumn("s", F.explode("settings"))
+    w = tf_weight_by_code(F.col("s.tf_calc"), F.col("tf"), F.col("max_tf")) * idf_weight_by_code(
+        F.col("s.idf_calc"), F.col("df"), F.col("n_docs"))
+    return rows.select(F.col("s.run_id").alias("run_id"), "doc_id", "term_id", "term", w.alias("w"))
 
 
 def baseline(vocab: DataFrame, n_docs: DataFrame, tf_calc: int = 0, idf: IdfSpec = 0) -> DataFrame:
@@ -70,22 +68,32 @@ def baseline(vocab: DataFrame, n_docs: DataFrame, tf_calc: int = 0, idf: IdfSpec
     return v.select("term_id", "term", (absent_tf_weight(tf_calc) * F.col("idf")).alias("base"))
 
 
-def densify(weights: DataFrame, base: DataFrame, docs: DataFrame, keys=("doc_id",),
-            max_terms: int = MAX_DENSE_TERMS) -> DataFrame:
+def densify(weights: DataFrame, base: DataFrame, docs: DataFrame, keys=("doc_id",)) -> DataFrame:
     """One ``vec array<double>`` per doc in column (term_id) order.
 
     ``docs`` lists the rows to emit (e.g. docs with at least one term); a
-    vocabulary term missing from a doc takes ``base``.  Only for matrix output
-    of bounded width: the width is checked against ``max_terms``.
+    vocabulary term missing from a doc takes ``base``.  Every row of the result
+    is as wide as the vocabulary, which each task holds once: this is for matrix
+    output, all other stages read the long form.
     """
-    n_terms = base.limit(max_terms + 1).count()
-    if n_terms > max_terms:
-        raise ValueError(f"dense matrix wider than {max_terms} columns; keep the long form")
     keys = list(keys)
-    base_row = base.agg(F.sort_array(F.collect_list(F.struct("term_id", "base"))).alias("_b")).select(
-        F.transform("_b", lambda s: s["base"]).alias("_base"))
-    per_doc = weights.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("term_id", "w"))).alias("_m"))
-    out = docs.select(*keys).join(per_doc, keys, "left").crossJoin(F.broadcast(base_row))
-    vec = F.transform(F.col("_base"), lambda b, j: F.coalesce(F.try_element_at(F.col("_m"), j.cast("long")), b))
-    return out.select(*keys, vec.alias("vec"))
+    fill = np.zeros(base.count())
+    for r in base.select("term_id", "base").toLocalIterator():  # one number per column of the matrix
+        fill[r["term_id"]] = r["base"]
+    held = base.sparkSession.sparkContext.broadcast(fill)
+    per_doc = weights.groupBy(*keys).agg(F.collect_list(F.struct("term_id", "w")).alias("_w"))
+    rows = docs.select(*keys).join(per_doc, keys, "left").select(
+        *keys, F.transform("_w", lambda x: x["term_id"]).alias("_t"), F.transform("_w", lambda x: x["w"]).alias("_w"))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def scatter(batches):
+        for b in batches:
+            for i in range(len(b)):
+                vec = held.value.copy()
+                at, w = b.column(len(keys))[i], b.column(len(keys) + 1)[i]
+                if at.is_valid:
+                    vec[at.values.to_numpy(zero_copy_only=False)] = w.values.to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(len(keys))),
+                                                  pa.array([vec], pa.list_(pa.float64()))], names=[*keys, "vec"])
+
+    return rows.mapInArrow(scatter, f"{kinds}, vec array<double>")

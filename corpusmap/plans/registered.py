@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ENGLISH_STOP_WORDS, MAX_TOKEN_LENGTH, TOKEN_PATTERNS
+from ..functions.text import ENGLISH_STOP_WORDS, TOKEN_PATTERNS
 from ..operators import terms as T
 from ..operators import vocab as V
 from ..operators import weighting as W
 from ..sources.corpus import corpus_from_table
+from .util import cut_lineage
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -43,8 +44,7 @@ def documents(spark, sf_dir):
 
 
 def postings(doc):
-    """The analysed corpus materialised once (the reusable index, S9), read by every later stage."""
-    from .util import cut_lineage
+    """The analysed corpus materialised once, read by every later stage."""
     return cut_lineage(T.term_freqs(doc))
 
 
@@ -56,7 +56,7 @@ SQL_TERMS = f"""
   raw_tok AS (
     SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{_TOKEN_RE}')) AS t FROM documents),
   tok AS (
-    SELECT doc_id, lower(t) AS term FROM raw_tok WHERE length(t) <= {MAX_TOKEN_LENGTH}),
+    SELECT doc_id, lower(t) AS term FROM raw_tok),
   postings AS (
     SELECT doc_id, term, count(*)::BIGINT AS tf FROM tok
     WHERE term NOT IN ({_STOP}) AND length(term) > 0 GROUP BY doc_id, term),
@@ -257,6 +257,17 @@ def q_separation_runs(spark, sf_dir):
                     r6(F.col("ratio")).alias("ratio"))
 
 
+@register("c6_separation_unique_labels", _with("""
+  pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, CAST(vec_id // 2 AS VARCHAR) AS label FROM embeddings)""", SQL_PAIRS, """
+  runs AS (SELECT 'default' AS run_id, * FROM pairs)""") + _SQL_SEP)
+def q_separation_unique(spark, sf_dir):
+    """C6 with a label for every two points: the work doesn't grow with the number of labels."""
+    e = embeddings(spark, sf_dir).withColumn("label", F.floor(F.col("id") / 2).cast("string"))
+    s = C.separation(e, run_col=None)
+    return s.select("run_id", r6(F.col("within")).alias("within"), r6(F.col("between")).alias("between"),
+                    r6(F.col("ratio")).alias("ratio"))
+
+
 @register("v1_column_means", _with(SQL_POINTS) + """
 SELECT pos, round(avg(x), 6) + 0.0 AS mean
 FROM (SELECT unnest(range(0, 64)) AS pos, unnest(v) AS x FROM pts) GROUP BY pos""")
@@ -282,6 +293,21 @@ def q_knn(spark, sf_dir):
     return k.select("src", "dst", F.col("rank").cast("long").alias("rank"), r6(F.col("d2")).alias("d2"))
 
 
+@register("n1_knn_duplicates", _with("""
+  pts AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, CAST(label AS VARCHAR) AS label FROM embeddings
+          UNION ALL
+          SELECT vec_id + (1 + k) * 1000000, embedding::DOUBLE[], CAST(label AS VARCHAR)
+          FROM embeddings CROSS JOIN range(0, 40) r(k) WHERE vec_id % 100 = 0)""", SQL_PAIRS, SQL_KNN) + """
+SELECT src, dst, rank::BIGINT AS rank, round(d2, 6) + 0.0 AS d2 FROM knn""")
+def q_knn_duplicates(spark, sf_dir):
+    """N1 on the embeddings united with 40 copies of every hundredth: ties at the k-th place go to the smallest ids."""
+    e = embeddings(spark, sf_dir)
+    copies = e.filter("id % 100 = 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).select(
+        (F.col("id") + F.col("k") * 1000000).alias("id"), "vec", "label")
+    k = D.knn(e.unionByName(copies), 18, run_col=None)
+    return k.select("src", "dst", F.col("rank").cast("long").alias("rank"), r6(F.col("d2")).alias("d2"))
+
+
 _SQL_SYM = """
   sym AS (
     SELECT src, dst, sum(v) / 2.0 AS p FROM (
@@ -335,12 +361,16 @@ from . import sweep as X  # noqa: E402
 
 
 def embedding_map(spark, sf_dir):
-    """A 2-D state derived from the table: y = 10 × the first two embedding coordinates, u = 0, gains 1."""
+    """A 2-D state derived from the table: position and velocity are projections of all 64 embedding values, gains 1 or 2."""
     e = table(spark, sf_dir, "embeddings")
+
+    def project(period, of, times):
+        part = F.filter(F.transform(F.col("embedding"), lambda x, i: F.when(i % period == of, x.cast("double"))), lambda x: x.isNotNull())
+        return F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x) * F.lit(times)
     return e.select(F.lit("default").alias("run_id"), F.col("vec_id").alias("id"),
-                    (F.col("embedding")[0].cast("double") * 10.0).alias("y0"),
-                    (F.col("embedding")[1].cast("double") * 10.0).alias("y1"),
-                    F.lit(0.0).alias("u0"), F.lit(0.0).alias("u1"), F.lit(1.0).alias("g0"), F.lit(1.0).alias("g1"))
+                    project(2, 0, 4.0).alias("y0"), project(2, 1, 4.0).alias("y1"),
+                    project(3, 0, 1.0).alias("u0"), project(3, 1, 1.0).alias("u1"),
+                    (F.col("vec_id") % 2 + 1).cast("double").alias("g0"), (F.col("vec_id") % 3 * 0.01).cast("double").alias("g1"))
 
 
 def knn_edges(spark, sf_dir):
@@ -350,7 +380,12 @@ def knn_edges(spark, sf_dir):
 
 
 SQL_MAP = """
-  lay AS (SELECT vec_id AS id, 10.0 * embedding[1]::DOUBLE AS y0, 10.0 * embedding[2]::DOUBLE AS y1 FROM embeddings),
+  lay AS (SELECT vec_id AS id,
+                 4.0 * list_sum(list_transform(range(0, 32), lambda k: embedding[2 * k + 1]::DOUBLE)) AS y0,
+                 4.0 * list_sum(list_transform(range(0, 32), lambda k: embedding[2 * k + 2]::DOUBLE)) AS y1,
+                 list_sum(list_transform(range(0, 22), lambda k: embedding[3 * k + 1]::DOUBLE)) AS u0,
+                 list_sum(list_transform(range(0, 21), lambda k: embedding[3 * k + 2]::DOUBLE)) AS u1,
+                 (vec_id % 2 + 1)::DOUBLE AS k0, (vec_id % 3 * 0.01)::DOUBLE AS k1 FROM embeddings),
   qq AS (SELECT a.id, a.y0 - b.y0 AS dx, a.y1 - b.y1 AS dy,
                 1.0 / (1.0 + (a.y0 - b.y0) ^ 2 + (a.y1 - b.y1) ^ 2) AS q
          FROM lay a JOIN lay b ON a.id <> b.id),
@@ -405,17 +440,17 @@ def q_fused(spark, sf_dir):
 
 @register("l9_l11_gradient_step", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, SQL_MAP, SQL_EDGES, """
   grad AS (
-    SELECT r.id, l.y0, l.y1,
+    SELECT r.id, l.y0, l.y1, l.u0, l.u1, l.k0, l.k1,
            12.0 * coalesce(a.a0, 0.0) - r.r0 / (SELECT z FROM zz) AS g0,
            12.0 * coalesce(a.a1, 0.0) - r.r1 / (SELECT z FROM zz) AS g1
     FROM rep r JOIN lay l ON l.id = r.id LEFT JOIN att a ON a.id = r.id),
   gains AS (
-    SELECT id, y0, y1, g0, g1,
-           greatest(CASE WHEN sign(g0) <> 0 THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END, 0.01::DOUBLE) AS k0,
-           greatest(CASE WHEN sign(g1) <> 0 THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END, 0.01::DOUBLE) AS k1
+    SELECT id, y0, y1, u0, u1, g0, g1,
+           greatest(CASE WHEN sign(g0) <> sign(u0) THEN k0 + 0.2::DOUBLE ELSE k0 * 0.8::DOUBLE END, 0.01::DOUBLE) AS k0,
+           greatest(CASE WHEN sign(g1) <> sign(u1) THEN k1 + 0.2::DOUBLE ELSE k1 * 0.8::DOUBLE END, 0.01::DOUBLE) AS k1
     FROM grad)""") + """
-SELECT id, round(y0 - 200.0 * k0 * g0, 6) + 0.0 AS y0, round(y1 - 200.0 * k1 * g1, 6) + 0.0 AS y1,
-       round(-200.0 * k0 * g0, 6) + 0.0 AS u0, round(-200.0 * k1 * g1, 6) + 0.0 AS u1,
+SELECT id, round(y0 + 0.5 * u0 - 200.0 * k0 * g0, 6) + 0.0 AS y0, round(y1 + 0.5 * u1 - 200.0 * k1 * g1, 6) + 0.0 AS y1,
+       round(0.5 * u0 - 200.0 * k0 * g0, 6) + 0.0 AS u0, round(0.5 * u1 - 200.0 * k1 * g1, 6) + 0.0 AS u1,
        round(k0, 6) + 0.0 AS g0, round(k1, 6) + 0.0 AS g1
 FROM gains""")
 def q_step(spark, sf_dir):
@@ -452,48 +487,120 @@ def q_box(spark, sf_dir):
     return b.select(*[r6(F.col(c)).alias(c) for c in ("cx", "cy", "hw", "hh")])
 
 
-_SQL_PYRAMID = _with(SQL_MAP, """
+# a cell with two different places is split, on and on; DuckDB walks down one level at a time
+_SQL_PYRAMID = "WITH RECURSIVE " + SQL_MAP + """,
   box AS (SELECT avg(y0) AS cx, avg(y1) AS cy,
                  greatest(max(y0) - avg(y0), avg(y0) - min(y0)) + 1e-5 AS hw,
                  greatest(max(y1) - avg(y1), avg(y1) - min(y1)) + 1e-5 AS hh FROM lay),
-  lv AS (SELECT unnest(range(0, 7)) AS level),
+  rel AS (SELECT p.id, p.y0, p.y1, (p.y0 - (b.cx - b.hw)) / (2.0 * b.hw) AS rx, (p.y1 - (b.cy - b.hh)) / (2.0 * b.hh) AS ry
+          FROM lay p CROSS JOIN box b),
   bins AS (
-    SELECT l.level, p.y0, p.y1,
-           least(greatest(floor((p.y0 - (b.cx - b.hw)) / (2.0 * b.hw) * pow(2.0, l.level)), 0), pow(2.0, l.level) - 1)::BIGINT AS ix,
-           least(greatest(floor((p.y1 - (b.cy - b.hh)) / (2.0 * b.hh) * pow(2.0, l.level)), 0), pow(2.0, l.level) - 1)::BIGINT AS iy
-    FROM lay p CROSS JOIN box b CROSS JOIN lv l),
-  cells AS (SELECT level, ix, iy, count(*)::BIGINT AS n, avg(y0) AS m0, avg(y1) AS m1 FROM bins GROUP BY 1, 2, 3)""")
+    SELECT 0 AS level, id, y0, y1, rx, ry, 0::BIGINT AS ix, 0::BIGINT AS iy FROM rel
+    UNION ALL
+    SELECT level + 1, id, y0, y1, rx, ry,
+           least(greatest(floor(rx * pow(2.0, level + 1)), 0), pow(2.0, level + 1) - 1)::BIGINT,
+           least(greatest(floor(ry * pow(2.0, level + 1)), 0), pow(2.0, level + 1) - 1)::BIGINT
+    FROM (SELECT *, max(y0) OVER w > min(y0) OVER w OR max(y1) OVER w > min(y1) OVER w AS many
+          FROM bins WINDOW w AS (PARTITION BY level, ix, iy)) WHERE many AND level < 59),
+  cells AS (SELECT level, ix, iy, count(*)::BIGINT AS n, avg(y0) AS m0, avg(y1) AS m1,
+                   NOT (max(y0) > min(y0) OR max(y1) > min(y1)) AS leaf FROM bins GROUP BY 1, 2, 3)"""
 
 
 @register("l5_l6_cell_pyramid", _SQL_PYRAMID + """
-SELECT level::INTEGER AS level, ix, iy, n, round(m0, 6) + 0.0 AS m0, round(m1, 6) + 0.0 AS m1 FROM cells""")
+SELECT level::INTEGER AS level, ix, iy, n, round(m0, 6) + 0.0 AS m0, round(m1, 6) + 0.0 AS m1, leaf FROM cells""")
 def q_pyramid(spark, sf_dir):
-    c = L.cell_pyramid(embedding_map(spark, sf_dir), max_level=6)
-    return c.select("level", "ix", "iy", "n", r6(F.col("m0")).alias("m0"), r6(F.col("m1")).alias("m1"))
+    c = L.cell_pyramid(embedding_map(spark, sf_dir))
+    return c.select("level", "ix", "iy", "n", r6(F.col("m0")).alias("m0"), r6(F.col("m1")).alias("m1"), "leaf")
 
 
 @register("l7_pyramid_depth", _SQL_PYRAMID + """
-SELECT (max(level) + 2)::INTEGER AS depth FROM cells WHERE n > 1""")
+SELECT (max(level) + 1)::INTEGER AS depth FROM cells""")
 def q_depth(spark, sf_dir):
-    return L.pyramid_depth(L.cell_pyramid(embedding_map(spark, sf_dir), max_level=6)).select(
-        F.col("depth").cast("int").alias("depth"))
+    return L.pyramid_depth(L.cell_pyramid(embedding_map(spark, sf_dir))).select(F.col("depth").cast("int").alias("depth"))
 
 
-@register("l8_barnes_hut_repulsion")
+@register("l8_barnes_hut_repulsion", _SQL_PYRAMID + """,
+  walk AS (
+    SELECT r.id, r.y0, r.y1, r.rx, r.ry, c.level, c.ix, c.iy, c.n, c.m0, c.m1, c.leaf,
+           c.leaf OR greatest(b.hw, b.hh) / pow(2.0, c.level) < 0.5 * sqrt((r.y0 - c.m0) ^ 2 + (r.y1 - c.m1) ^ 2) AS done
+    FROM rel r JOIN cells c ON c.level = 0 CROSS JOIN box b
+    UNION ALL
+    SELECT w.id, w.y0, w.y1, w.rx, w.ry, c.level, c.ix, c.iy, c.n, c.m0, c.m1, c.leaf,
+           c.leaf OR greatest(b.hw, b.hh) / pow(2.0, c.level) < 0.5 * sqrt((w.y0 - c.m0) ^ 2 + (w.y1 - c.m1) ^ 2)
+    FROM walk w JOIN cells c ON c.level = w.level + 1 AND c.ix // 2 = w.ix AND c.iy // 2 = w.iy CROSS JOIN box b
+    WHERE NOT w.done),
+  hits AS (
+    SELECT id, y0 - m0 AS dx, y1 - m1 AS dy,
+           n - CASE WHEN leaf AND least(greatest(floor(rx * pow(2.0, level)), 0), pow(2.0, level) - 1)::BIGINT = ix
+                         AND least(greatest(floor(ry * pow(2.0, level)), 0), pow(2.0, level) - 1)::BIGINT = iy
+                    THEN 1 ELSE 0 END AS k,
+           1.0 / (1.0 + (y0 - m0) ^ 2 + (y1 - m1) ^ 2) AS q
+    FROM walk WHERE done)
+SELECT id, round(sum(k * q * q * dx), 6) + 0.0 AS r0, round(sum(k * q * q * dy), 6) + 0.0 AS r1,
+       round((SELECT sum(k * q) FROM hits), 4) + 0.0 AS z
+FROM hits GROUP BY id""")
 def q_bh(spark, sf_dir):
-    """Barnes-Hut repulsion (theta 0.5) on the data-derived map; no SQL form (tree walk)."""
+    """Barnes-Hut repulsion (theta 0.5) on the data-derived map."""
     state = embedding_map(spark, sf_dir)
     box = L.bounding_cell(state)
-    cells = L.cell_pyramid(state, 12, box)
-    rep, z, _ = L.bh_forces(state, cells, 0.5, 12, box)
-    return rep.join(z, "run_id")
+    rep, z = L.bh_forces(state, cut_lineage(L.cell_pyramid(state, box)), 0.5, box)
+    return rep.join(z, "run_id").select("id", r6(F.col("r0")).alias("r0"), r6(F.col("r1")).alias("r1"),
+                                        (F.round("Z", 4) + F.lit(0.0)).alias("z"))
+
+
+@register("l15_kl_cost_edges", _with(SQL_POINTS, SQL_PAIRS, SQL_KNN, SQL_MAP, """
+  edges AS (SELECT src, dst, exp(-d2) AS p FROM knn)""") + """
+SELECT round(sum(e.p * ln((e.p + 1.17549435e-38) /
+             ((1.0 / (1.0 + (s.y0 - t.y0) ^ 2 + (s.y1 - t.y1) ^ 2)) / (SELECT z FROM zz) + 1.17549435e-38))), 6) + 0.0 AS cost
+FROM edges e JOIN lay s ON s.id = e.src JOIN lay t ON t.id = e.dst""")
+def q_kl_edges(spark, sf_dir):
+    state, (_, z) = _exact_pass(spark, sf_dir, with_edges=False)
+    c = L.kl_cost(state, knn_edges(spark, sf_dir), z, eps=L.FLT_MIN)
+    return c.select(r6(F.col("cost")).alias("cost"))
+
+
+def _three_steps_sql() -> str:
+    """Three optimiser iterations from the data-derived state, each from the tables of the one before."""
+    ctes = [SQL_POINTS, SQL_PAIRS, SQL_KNN, """
+  e0 AS (SELECT src, dst, exp(-d2) AS v FROM knn),
+  two AS (SELECT src, dst, v FROM e0 UNION ALL SELECT dst, src, v FROM e0),
+  sym AS (SELECT src, dst, sum(v) / 2.0 AS v FROM two GROUP BY src, dst),
+  edges AS (SELECT src, dst, v / (SELECT sum(v) FROM sym) AS p FROM sym)""", SQL_MAP.split("  qq AS")[0].rstrip().rstrip(","), """
+  s0 AS (SELECT id, y0, y1, u0, u1, k0, k1 FROM lay)"""]
+    for i in range(3):
+        ctes.append(f"""
+  q{i} AS (SELECT a.id, a.y0 - b.y0 AS dx, a.y1 - b.y1 AS dy, 1.0 / (1.0 + (a.y0 - b.y0) ^ 2 + (a.y1 - b.y1) ^ 2) AS q
+           FROM s{i} a JOIN s{i} b ON a.id <> b.id),
+  r{i} AS (SELECT id, sum(q * q * dx) AS r0, sum(q * q * dy) AS r1 FROM q{i} GROUP BY id),
+  a{i} AS (SELECT e.src AS id, sum(e.p * (s.y0 - t.y0) / (1.0 + (s.y0 - t.y0) ^ 2 + (s.y1 - t.y1) ^ 2)) AS a0,
+                  sum(e.p * (s.y1 - t.y1) / (1.0 + (s.y0 - t.y0) ^ 2 + (s.y1 - t.y1) ^ 2)) AS a1
+           FROM edges e JOIN s{i} s ON s.id = e.src JOIN s{i} t ON t.id = e.dst GROUP BY e.src),
+  g{i} AS (SELECT s.*, 12.0 * coalesce(a0, 0.0) - r0 / (SELECT sum(q) FROM q{i}) AS g0,
+                  12.0 * coalesce(a1, 0.0) - r1 / (SELECT sum(q) FROM q{i}) AS g1
+           FROM s{i} s JOIN r{i} USING (id) LEFT JOIN a{i} USING (id)),
+  n{i} AS (SELECT id, y0, y1, u0, u1, g0, g1,
+                  greatest(CASE WHEN sign(g0) <> sign(u0) THEN k0 + 0.2::DOUBLE ELSE k0 * 0.8::DOUBLE END, 0.01::DOUBLE) AS k0,
+                  greatest(CASE WHEN sign(g1) <> sign(u1) THEN k1 + 0.2::DOUBLE ELSE k1 * 0.8::DOUBLE END, 0.01::DOUBLE) AS k1 FROM g{i}),
+  s{i + 1} AS (SELECT id, y0 + 0.5 * u0 - 200.0 * k0 * g0 AS y0, y1 + 0.5 * u1 - 200.0 * k1 * g1 AS y1,
+                      0.5 * u0 - 200.0 * k0 * g0 AS u0, 0.5 * u1 - 200.0 * k1 * g1 AS u1, k0, k1 FROM n{i})""")
+    return _with(*ctes) + """
+SELECT id, round(y0 - avg(y0) OVER (), 4) + 0.0 AS y0, round(y1 - avg(y1) OVER (), 4) + 0.0 AS y1 FROM s3"""
+
+
+@register("l17_three_iterations", _three_steps_sql())
+def q_three_iterations(spark, sf_dir):
+    """Three iterations of the optimiser on a given graph from a given start."""
+    from .tsne import TsneConfig, tsne
+    edges = N.normalize(N.symmetrize(knn_edges(spark, sf_dir)))
+    layout, _ = tsne(cfg=TsneConfig(max_iter=3, method="exact", eval_every=100), edges=edges, init=embedding_map(spark, sf_dir))
+    return layout.select("id", (F.round("y0", 4) + F.lit(0.0)).alias("y0"), (F.round("y1", 4) + F.lit(0.0)).alias("y1"))
 
 
 @register("l1_l17_tsne_layout")
 def q_tsne(spark, sf_dir):
-    """30 iterations of exact-gradient t-SNE (perplexity 6) on the embeddings (iterative: no SQL)."""
+    """30 iterations of t-SNE (perplexity 6, exact gradient) on the embeddings from the seeded start (no SQL)."""
     from .tsne import TsneConfig, tsne
-    layout, _ = tsne(embeddings(spark, sf_dir), TsneConfig(max_iter=30, eval_every=10), run_col=None)
+    layout, _ = tsne(embeddings(spark, sf_dir), TsneConfig(max_iter=30, eval_every=10, method="exact"), run_col=None)
     return layout
 
 
@@ -501,8 +608,7 @@ def q_tsne(spark, sf_dir):
 @register("x1_label_from_path", """
 SELECT page_id, split_part(url, '/', 4) AS label FROM pages""")
 def q_label_from_path(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.coalesce(F.try_element_at(F.split("url", "/"), F.lit(4)), F.lit("")).alias("label"))
+    return X.label_from_path(table(spark, sf_dir, "pages"), 4, col="url").select("page_id", "label")
 
 
 @register("x2_attach_labels", _with(SQL_MAP) + """

@@ -1,9 +1,10 @@
 """Plan-level helpers shared by the operators: size-checked broadcast,
-lineage cuts, dense ids and scan spreading."""
+lineage cuts and dense ids."""
 
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,29 +30,27 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return df, False
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the session's checkpoint folder and read it back.
 
     One job (no recomputation, unlike an un-persisted RDD checkpoint), a
     plan that starts fresh from a file scan, and data in the shared folder
     the cluster names -- so a lost executor never forces a replay of the
-    lineage.  ``eager`` is accepted for API symmetry; the write is always eager.
+    lineage.  The write is eager.  Inside :func:`temporary_tables` the table
+    is dropped at the end of the block.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/corpusmap-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    out = spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._corpusmap_table = path  # only frames made here may be dropped by drop_table_files
+    if _BLOCKS:
+        _BLOCKS[-1].paths[path] = spark
     return out
 
 
-def drop_table_files(df: DataFrame) -> None:
-    """Delete the table behind a frame returned by :func:`cut_lineage` (other frames: no-op)."""
-    path = getattr(df, "_corpusmap_table", None)
-    if not path:
-        return
-    spark = df.sparkSession
+def _delete(spark: SparkSession, path: str) -> None:
     try:
         hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
@@ -59,41 +58,71 @@ def drop_table_files(df: DataFrame) -> None:
         pass
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def drop_table_files(df: DataFrame) -> None:
+    """Delete the table behind a frame returned by :func:`cut_lineage` (other frames: no-op)."""
+    path = getattr(df, "_corpusmap_table", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+class _Block:
+    """The tables that :func:`cut_lineage` made in a block."""
+
+    def __init__(self):
+        self.paths: dict = {}
+        self.kept: set = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Leave the table behind ``df`` in place at the end of the block."""
+        self.kept.add(getattr(df, "_corpusmap_table", None))
+        return df
+
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Drop all tables made so far but those behind ``frames``."""
+        stay = {getattr(f, "_corpusmap_table", None) for f in frames}
+        for path in [p for p in self.paths if p not in stay]:
+            _delete(self.paths.pop(path), path)
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Give a CPU-heavy row-local stage at least one task per core.
+_BLOCKS: list[_Block] = []
 
-    A big input has far more splits than cores and is left untouched (no
-    shuffle).  A file with very few row groups would otherwise run the
-    tokenizer on a handful of tasks.
+
+@contextmanager
+def temporary_tables():
+    """Drop every table :func:`cut_lineage` makes in the block when it ends, but those given to ``keep``.
+
+    Results must be used (written, collected) inside the block.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * 2)
-    return df
+    block = _Block()
+    _BLOCKS.append(block)
+    try:
+        yield block
+    finally:
+        _BLOCKS.remove(block)
+        for path, spark in block.paths.items():
+            if path not in block.kept:
+                _delete(spark, path)
+            elif _BLOCKS:
+                _BLOCKS[-1].paths[path] = spark
 
 
 def dense_ids(df: DataFrame, order_col: str, id_col: str = "id") -> DataFrame:
     """Attach ``id_col`` = 0-based rank of ``order_col`` (distinct values) without a single-task sort.
 
-    Range-partition + local sort, then per-partition counts turned into
-    offsets: only one row per partition ever meets in one place.
+    Only the values are ranked: range-partitioned and sorted locally (as many
+    partitions as their size asks for), then per-partition counts are turned
+    into offsets, so one row per partition is all that ever meets in one place.
+    The other columns join back by value.
     """
-    spark = df.sparkSession
-    n_parts = max(1, shuffle_partitions(spark))
-    ranged = (df.repartitionByRange(n_parts, F.col(order_col))
-              .sortWithinPartitions(F.col(order_col))
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = cut_lineage(ranged)  # ids must be identical for both uses below
-    ranged = (ranged.withColumn("_pid", F.shiftright("_mid", 33))
-              .withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    keys = (df.select(F.col(order_col).alias("_key")).repartitionByRange(F.col("_key"))
+            .sortWithinPartitions("_key").withColumn("_mid", F.monotonically_increasing_id()))
+    keys = cut_lineage(keys)  # ids must be identical for both uses below
+    keys = keys.select("_key", F.shiftright("_mid", 33).alias("_pid"),
+                       F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("_rn"))
+    counts = keys.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     # one row per partition: a proven bound, safe to broadcast
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(id_col, (F.col("_off") + F.col("_rn")).cast("long"))
-            .drop("_mid", "_pid", "_rn", "_off"))
+    ranked = keys.join(F.broadcast(offsets), "_pid").select("_key", (F.col("_off") + F.col("_rn")).cast("long").alias("_rank"))
+    out = df.join(ranked, F.col(order_col).eqNullSafe(F.col("_key")))
+    return out.withColumn(id_col, F.col("_rank")).drop("_key", "_rank")

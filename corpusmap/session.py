@@ -3,7 +3,7 @@
 Library code never hard-codes a storage location.  Lineage is cut with
 reliable ``checkpoint()`` into the folder the cluster names in
 ``spark.checkpoint.dir``; only when that is unset (tests, local runs) do we
-pick a scratch folder of our own.
+pick a scratch folder of our own; on a cluster an unset folder raises.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        # Only reached in tests / local runs: the cluster config names a shared folder.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="corpusmap-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

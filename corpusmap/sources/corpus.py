@@ -7,13 +7,15 @@ position.
 
 from __future__ import annotations
 
+import os
 import re
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..plans.util import dense_ids
+from ..plans.util import cut_lineage, dense_ids
 
 DOC_SCHEMA = "doc_id bigint, path string, text string"
 
@@ -24,50 +26,94 @@ def lenient_utf8(content) -> F.Column:
                                        else content.cast("string")), F.lit("�"), F.lit(""))
 
 
-def _glob_escape(s: str) -> str:
-    return re.sub(r"([\[\]\{\}\*\?\\])", r"\\\1", s)
+def to_uri(path: str, base: str) -> str:
+    """``path`` as a URI: ``file:`` forms are made alike, relative paths are taken from ``base``."""
+    if path.startswith("file:"):
+        return "file://" + "/" + path[len("file:"):].lstrip("/")
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path):
+        return path
+    return "file://" + os.path.normpath(os.path.join(base, path))
 
 
-def _empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], DOC_SCHEMA)
+def _children(batches):
+    """The entries of each folder, listed by the executors."""
+    for b in batches:
+        for uri in b.column(0).to_pylist():
+            fs, path = pafs.FileSystem.from_uri(uri)
+            scheme = uri[:len(uri) - len(path)] if uri.endswith(path) else "file://"
+            found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+            yield pa.RecordBatch.from_pydict({
+                "uri": pa.array([scheme + f.path for f in found], pa.string()), "name": pa.array([f.base_name for f in found], pa.string()),
+                "folder": pa.array([f.type == pafs.FileType.Directory for f in found], pa.bool_())})
+
+
+def list_files(spark: SparkSession, root: str, suffix: str = "", skip_hidden: bool = True) -> DataFrame:
+    """``(uri)`` of all regular files under ``root``, one listing job per level of folders.
+
+    ``skip_hidden`` leaves out files and folders whose name begins with a dot; no other
+    name is special.  A missing root has no files.
+    """
+    level = spark.createDataFrame([(to_uri(root, os.getcwd()),)], "uri string")
+    files = spark.createDataFrame([], "uri string")
+    while True:
+        found = level.repartition(max(1, spark.sparkContext.defaultParallelism), "uri").mapInArrow(
+            _children, "uri string, name string, folder boolean")
+        if skip_hidden:
+            found = found.filter(~F.col("name").startswith("."))
+        found = cut_lineage(found)
+        files = files.unionByName(found.filter(~F.col("folder") & F.col("name").endswith(suffix)).select("uri"))
+        level = found.filter("folder").select("uri")
+        if not level.limit(1).count():
+            return files
+
+
+def _contents(batches):
+    for b in batches:
+        for doc_id, path, uri in zip(*(c.to_pylist() for c in b.columns)):
+            fs, name = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_stream(name, compression=None) as f:  # a file that is not there raises
+                content = f.read()
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64()), "path": [path], "content": pa.array([content], pa.binary())})
+
+
+def _read_files(files: DataFrame) -> DataFrame:
+    """Documents of ``files(doc_id, path, uri)``; opened by the executors, so no name rule of Spark's file source applies."""
+    spread = files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "doc_id")
+    raw = spread.select("doc_id", "path", "uri").mapInArrow(_contents, "doc_id long, path string, content binary")
+    return raw.select("doc_id", "path", lenient_utf8("content").alias("text"))
 
 
 def read_corpus_dir(spark: SparkSession, root: str, suffix: str = "", skip_hidden: bool = True) -> DataFrame:
-    """Every regular file under ``root`` whose name ends with ``suffix``.
+    """Every regular file under ``root`` whose name ends with ``suffix``; see :func:`list_files`.
 
-    Hidden files and folders (``.x``) are skipped by the file source itself.
-    ``doc_id`` is the rank of the path, so ids are stable across runs.  A
-    missing root gives an empty corpus.
+    ``doc_id`` is the rank of the path, so ids are stable across runs.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if suffix:
-        reader = reader.option("pathGlobFilter", "*" + _glob_escape(suffix))
-    try:
-        raw = reader.load(root)
-    except Exception as e:  # PATH_NOT_FOUND
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return _empty(spark)
-        raise
-    files = raw.select(F.regexp_replace("path", "^file:", "").alias("path"), lenient_utf8("content").alias("text"))
-    return dense_ids(files, "path", "doc_id").select("doc_id", "path", "text")
-
-
-def read_corpus_list(spark: SparkSession, list_path: str) -> DataFrame:
-    """Files named one per line in ``list_path``; ``doc_id`` = line order.
-
-    The list is read as a table, the files with one distributed binary read,
-    and the two are joined on path (never one read per file).
+    files = list_files(spark, root, suffix, skip_hidden).withColumn("path", F.regexp_replace("uri", "^file://", ""))
+    return _read_files(dense_ids(cut_lineage(files), "path", "doc_id"))
+
+
+def read_corpus_list(spark: SparkSession, list_path: str, base: str | None = None) -> DataFrame:
+    """Files named one per line in ``list_path``; ``doc_id`` = line order, ``path`` = the line.
+
+    Lines may be absolute or relative paths (from ``base``, default: the working folder)
+    or URIs.  A listed file that can't be read raises; one listed twice is read twice.
     """
-    lines = spark.read.text(list_path).select(F.col("value").alias("path"))
-    lines = lines.filter(F.length("path") > 0)
-    listed = dense_ids(lines.withColumn("_mid", F.monotonically_increasing_id()), "_mid", "doc_id").drop("_mid")
-    # File listing is driver metadata in every Spark file source; only the names travel.
-    paths = [r.path for r in listed.select("path").distinct().toLocalIterator()]
-    if not paths:
-        return _empty(spark)
-    raw = spark.read.format("binaryFile").load(paths).select(
-        F.regexp_replace("path", "^file:", "").alias("_p"), lenient_utf8("content").alias("text"))
-    return listed.join(raw, listed.path == raw._p).select("doc_id", "path", "text")
+    from .files import ordered_lines
+
+    base = base or os.getcwd()
+    lines = ordered_lines(spark, list_path)
+    uri = F.udf(lambda p: to_uri(p, base), "string")  # short strings, once per file
+    return _read_files(lines.select(F.col("line_no").alias("doc_id"), F.col("line").alias("path"), uri("line").alias("uri")))
+
+
+def read_corpus(spark: SparkSession, doc_dir: str | None = None, doc_list: str | None = None, suffix: str = "",
+                skip_hidden: bool = True) -> DataFrame:
+    """The list if there is one, else the folder."""
+    if doc_list:
+        return read_corpus_list(spark, doc_list)
+    if doc_dir:
+        return read_corpus_dir(spark, doc_dir, suffix, skip_hidden)
+    raise ValueError("doc_dir or doc_list is needed")
 
 
 def corpus_from_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
