@@ -343,15 +343,34 @@ def q_sparsity(spark, sf_dir):
     return N.sparsity(s, n).select("n_edges", r6(F.col("sparsity")).alias("sparsity"))
 
 
-@register("n2_calibrate_perp6")
+@register("n2_calibrate_perp6", "WITH RECURSIVE " + ",".join([SQL_POINTS, SQL_PAIRS, SQL_KNN]) + """,
+  scale AS (SELECT pow(greatest(0.0, max(mx - mean)), 2) AS s2
+            FROM (SELECT avg(x) AS mean, max(x) AS mx
+                  FROM (SELECT unnest(range(0, 64)) AS pos, unnest(v) AS x FROM pts) GROUP BY pos)),
+  near AS (SELECT src, list(dst ORDER BY d2, dst) AS dsts, list(d2 / s2 ORDER BY d2, dst) AS ds FROM knn CROSS JOIN scale GROUP BY src),
+  steps AS (
+    SELECT src, ds, 0 AS step, 1.0::DOUBLE AS beta, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, false AS done, NULL::DOUBLE AS used FROM near
+    UNION ALL
+    SELECT src, ds, step + 1,
+           CASE WHEN ok THEN beta WHEN diff > 0 THEN CASE WHEN hi IS NULL THEN beta * 2 ELSE (beta + hi) / 2 END
+                ELSE CASE WHEN lo IS NULL THEN beta / 2 ELSE (beta + lo) / 2 END END,
+           CASE WHEN NOT ok AND diff > 0 THEN beta ELSE lo END, CASE WHEN NOT ok AND NOT diff > 0 THEN beta ELSE hi END, ok, beta
+    FROM (SELECT *, abs(diff) < 1e-5 AS ok
+          FROM (SELECT *, beta * sd / s + ln(s) - ln(6.0) AS diff
+                FROM (SELECT *, 2.2250738585072014e-308 + list_sum(list_transform(ds, lambda d: exp(-beta * d))) AS s,
+                             list_sum(list_transform(ds, lambda d: d * exp(-beta * d))) AS sd
+                      FROM steps WHERE NOT done AND step < 200)))),
+  found AS (SELECT src, arg_max(used, step) AS beta FROM steps GROUP BY src),
+  parts AS (SELECT n.src, unnest(n.dsts) AS dst, unnest(n.ds) AS d, f.beta FROM near n JOIN found f ON f.src = n.src)
+SELECT src, dst, round(exp(-beta * d) / sum(exp(-beta * d)) OVER (PARTITION BY src), 6) + 0.0 AS p FROM parts""")
 def q_calibrate(spark, sf_dir):
-    """N2 (+N9 guard): perplexity-6 affinities on the 18-NN graph of max-scaled embeddings (no SQL form)."""
+    """N2 (+N9 guard): perplexity-6 affinities on the 18-NN graph of max-scaled embeddings."""
     e = embeddings(spark, sf_dir)
     n = e.count()
     N.check_perplexity(n, 6.0)
     st = D.column_stats(e, run_col=None).first()
     k = D.knn(e, N.neighbours_for(6.0), run_col=None)
-    return N.calibrate(k, perplexity=6.0, scale2=float(st.max_x) ** 2)
+    return N.calibrate(k, perplexity=6.0, scale2=float(st.max_x) ** 2).select("src", "dst", r6(F.col("p")).alias("p"))
 
 
 # ----------------------------------------------------------------- layout pieces on a data-derived map
@@ -635,21 +654,40 @@ def q_words(spark, sf_dir):
     return T.corpus_stats(T.term_freqs(documents(spark, sf_dir), mode="words"))
 
 
-@register("w10_k1_dense_matrix")
+PLAIN = dict(mode="simple", stem=False)  # the analysis SQL can state
+_DENSE_SQL = _with(SQL_TERMS, _vocab_cte(f"df >= 20 AND df <= 1000 AND NOT regexp_full_match(term, '{BAND_EXCLUDE}')"), """
+  docs AS (SELECT DISTINCT doc_id, max_tf FROM tfm),
+  cells AS (
+    SELECT d.doc_id, v.term_id, (0.5 + 0.5 * coalesce(t.tf, 0) / d.max_tf) * (1.0 + ln(n_docs / (v.df + 1.0))) AS w
+    FROM docs d CROSS JOIN vocab v CROSS JOIN ndocs LEFT JOIN tfm t ON t.doc_id = d.doc_id AND t.term = v.term)""")
+
+
+def _dense(spark, sf_dir):
+    from .termvect import TermVectConfig, dense_matrix, term_vectors
+    cfg = TermVectConfig(min_df=20, max_df=1000, exclude=BAND_EXCLUDE, tf_calc=3, idf_calc=0, **PLAIN)
+    return cut_lineage(dense_matrix(term_vectors(documents(spark, sf_dir), cfg), cfg).withColumn(
+        "vec", F.transform("vec", lambda x: F.round(x, 6))))
+
+
+@register("w10_k1_dense_matrix", _DENSE_SQL + """
+SELECT doc_id AS _key, string_agg((round(w, 6))::VARCHAR, ' ' ORDER BY term_id) AS value FROM cells GROUP BY doc_id
+UNION ALL SELECT -1, (SELECT count(*) FROM docs)::VARCHAR || ' ' || (SELECT count(*) FROM vocab)::VARCHAR""")
 def q_dense(spark, sf_dir):
     """W10 + K1: dense tf-3 × idf-0 rows (absent terms take 0.5·idf) as matrix text lines."""
     from ..sources.sinks import matrix_lines
-    from .termvect import TermVectConfig, dense_matrix, term_vectors
-    cfg = TermVectConfig(min_df=20, max_df=1000, exclude=BAND_EXCLUDE, tf_calc=3, idf_calc=0)
-    return matrix_lines(dense_matrix(term_vectors(documents(spark, sf_dir), cfg), cfg))
+    return matrix_lines(_dense(spark, sf_dir))
 
 
 @register("x3_x4_sweep_2x2x2")
 def q_sweep(spark, sf_dir):
     """Batched sweep over tf {0,3} × idf {0,1} × perplexity {6,3}, 10 iterations, docs labelled by lang."""
+    from .termvect import TermVectConfig
     from .tsne import TsneConfig
     doc = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"))
     params = X.grid(spark, (0, 3), (0, 1), (6.0, 3.0))
-    result, _ = X.sweep(doc, labels, params, TsneConfig(max_iter=10, eval_every=100))
+    result, _ = X.sweep(doc, labels, params, TsneConfig(max_iter=10, eval_every=100, method="exact"), analysis=TermVectConfig(**PLAIN))
     return result
+
+
+from . import registered_more  # noqa: E402,F401
