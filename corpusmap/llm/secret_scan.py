@@ -61,11 +61,23 @@ def _transitions(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return before * STATES + codes, np.repeat(np.arange(len(strings)), lengths)
 
 
-def labelled_samples(df: DataFrame, id_col: str, text_col: str, train_docs: int, seed: int = 5) -> DataFrame:
-    """``(label, step, n)``: counted character steps of labelled strings in about ``train_docs`` documents.
+#: Alphabets of the seeded random strings among the samples.
+RANDOM_ALPHABETS = (ALPHABET[:62], ALPHABET[:64], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET[52:62] + ALPHABET[26:32])
 
-    Label 1: values the base patterns find.  Label 0: words and identifiers outside all
-    base matches.  Documents are chosen by a seeded hash of id and text.
+
+def random_strings(n: int, seed: int) -> list[str]:
+    """``n`` random strings of 16 to 64 characters over each of the alphabets."""
+    rng = np.random.default_rng(seed)
+    return ["".join(np.array(list(a))[rng.integers(0, len(a), rng.integers(16, 65))]) for a in RANDOM_ALPHABETS for _ in range(n)]
+
+
+def labelled_samples(df: DataFrame, id_col: str, text_col: str, train_docs: int, random_per_alphabet: int = 500,
+                     seed: int = 5) -> DataFrame:
+    """``(label, step, n)``: counted character steps of labelled strings.
+
+    Label 1: values the base patterns find in about ``train_docs`` documents, chosen by a
+    seeded hash of id and text, and ``random_per_alphabet`` seeded random strings of each
+    alphabet.  Label 0: words and identifiers of those documents outside all base matches.
     """
     n = df.count()
     share = min(1.0, train_docs / max(1, n))
@@ -92,16 +104,24 @@ def labelled_samples(df: DataFrame, id_col: str, text_col: str, train_docs: int,
         yield pa.RecordBatch.from_pydict({"label": pa.array(label, pa.int64()), "step": pa.array(step, pa.int64()),
                                           "n": pa.array(total[label, step], pa.int64())})
 
-    counted = chosen.select("text").mapInArrow(count, "label long, step long, n long")
+    step, n = np.unique(_transitions(random_strings(random_per_alphabet, seed))[0], return_counts=True)
+    made = df.sparkSession.createDataFrame([(1, int(s), int(k)) for s, k in zip(step, n)], "label long, step long, n long")
+    counted = chosen.select("text").mapInArrow(count, "label long, step long, n long").unionByName(made)
     return counted.groupBy("label", "step").agg(F.sum("n").alias("n"))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> np.ndarray:
-    """The log-likelihood ratio of each character step; at most 2 * 69 * 69 counts reach the driver."""
-    counts = np.full((2, STATES, STATES), smoothing)
+def train(samples: DataFrame, smoothing: float = 0.5, backoff: float = 10.0) -> np.ndarray:
+    """The log-likelihood ratio of each character step; at most 2 * 69 * 69 counts reach the driver.
+
+    After a character seen rarely, a model falls back on how often it sees the next
+    character at all (as if that had been seen ``backoff`` times).
+    """
+    counts = np.zeros((2, STATES, STATES))
     for r in samples.collect():
         counts[r["label"], r["step"] // STATES, r["step"] % STATES] += r["n"]
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    overall = counts.sum(axis=1, keepdims=True) + smoothing
+    overall /= overall.sum(axis=2, keepdims=True)
+    logs = np.log((counts + backoff * overall) / (counts.sum(axis=2, keepdims=True) + backoff))
     return (logs[1] - logs[0]).reshape(-1)
 
 
