@@ -34,7 +34,7 @@ def run_noop(df) -> None:
 
 
 def q5(spark, sf):
-    layout, metrics = tsne(R.embeddings(spark, sf), TsneConfig(max_iter=50, perplexity=6.0, eval_every=50),
+    layout, metrics = tsne(R.embeddings(spark, sf), TsneConfig(max_iter=50, perplexity=6.0, eval_every=50, method="exact"),
                            run_col=None)
     return layout
 

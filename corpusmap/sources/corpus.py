@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -29,10 +30,10 @@ def lenient_utf8(content) -> F.Column:
 def to_uri(path: str, base: str) -> str:
     """``path`` as a URI: ``file:`` forms are made alike, relative paths are taken from ``base``."""
     if path.startswith("file:"):
-        return "file://" + "/" + path[len("file:"):].lstrip("/")
+        return "file:///" + path[len("file:"):].lstrip("/")
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path):
         return path
-    return "file://" + os.path.normpath(os.path.join(base, path))
+    return "file://" + quote(os.path.normpath(os.path.join(base, path)))
 
 
 def _children(batches):
@@ -40,28 +41,29 @@ def _children(batches):
     for b in batches:
         for uri in b.column(0).to_pylist():
             fs, path = pafs.FileSystem.from_uri(uri)
-            scheme = uri[:len(uri) - len(path)] if uri.endswith(path) else "file://"
+            where = uri[:len(uri) - len(quote(path))]  # scheme and host
             found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
             yield pa.RecordBatch.from_pydict({
-                "uri": pa.array([scheme + f.path for f in found], pa.string()), "name": pa.array([f.base_name for f in found], pa.string()),
+                "uri": pa.array([where + quote(f.path) for f in found], pa.string()),
+                "path": pa.array([where.removeprefix("file://") + f.path for f in found], pa.string()), "name": pa.array([f.base_name for f in found], pa.string()),
                 "folder": pa.array([f.type == pafs.FileType.Directory for f in found], pa.bool_())})
 
 
 def list_files(spark: SparkSession, root: str, suffix: str = "", skip_hidden: bool = True) -> DataFrame:
-    """``(uri)`` of all regular files under ``root``, one listing job per level of folders.
+    """``(uri, path)`` of all regular files under ``root``, one listing job per level of folders.
 
     ``skip_hidden`` leaves out files and folders whose name begins with a dot; no other
     name is special.  A missing root has no files.
     """
-    level = spark.createDataFrame([(to_uri(root, os.getcwd()),)], "uri string")
-    files = spark.createDataFrame([], "uri string")
+    level = spark.createDataFrame([(to_uri(root.rstrip("/"), os.getcwd()),)], "uri string")
+    files = spark.createDataFrame([], "uri string, path string")
     while True:
         found = level.repartition(max(1, spark.sparkContext.defaultParallelism), "uri").mapInArrow(
-            _children, "uri string, name string, folder boolean")
+            _children, "uri string, path string, name string, folder boolean")
         if skip_hidden:
             found = found.filter(~F.col("name").startswith("."))
         found = cut_lineage(found)
-        files = files.unionByName(found.filter(~F.col("folder") & F.col("name").endswith(suffix)).select("uri"))
+        files = files.unionByName(found.filter(~F.col("folder") & F.col("name").endswith(suffix)).select("uri", "path"))
         level = found.filter("folder").select("uri")
         if not level.limit(1).count():
             return files
@@ -88,8 +90,7 @@ def read_corpus_dir(spark: SparkSession, root: str, suffix: str = "", skip_hidde
 
     ``doc_id`` is the rank of the path, so ids are stable across runs.
     """
-    files = list_files(spark, root, suffix, skip_hidden).withColumn("path", F.regexp_replace("uri", "^file://", ""))
-    return _read_files(dense_ids(cut_lineage(files), "path", "doc_id"))
+    return _read_files(dense_ids(cut_lineage(list_files(spark, root, suffix, skip_hidden)), "path", "doc_id"))
 
 
 def read_corpus_list(spark: SparkSession, list_path: str, base: str | None = None) -> DataFrame:

@@ -43,6 +43,54 @@ def test_corpus_dir_and_list(spark, tmp_dir):
     assert got == {0: "b.txt", 1: "a.txt"}
 
 
+def test_listed_paths_and_hidden_files(spark, tmp_dir, monkeypatch):
+    names = ["plain.txt", "_under.txt", ".dot.txt", "_folder/x.txt", ".folder/y.txt", "a b%20é.txt"]
+    for n in names:
+        os.makedirs(os.path.dirname(os.path.join(tmp_dir, "c", n)), exist_ok=True)
+        with open(os.path.join(tmp_dir, "c", n), "w") as f:
+            f.write(n)
+    root = os.path.join(tmp_dir, "c")
+    assert sorted(r.text for r in read_corpus_dir(spark, root).collect()) == sorted(n for n in names if not n.startswith("."))
+    assert sorted(r.text for r in read_corpus_dir(spark, root, skip_hidden=False).collect()) == sorted(names)
+    lst = os.path.join(tmp_dir, "list.txt")
+    lines = [f"file:{root}/plain.txt", f"file://{root}/_under.txt", "c/.dot.txt", "./c/_folder/x.txt", f"{root}/plain.txt"]
+    with open(lst, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    monkeypatch.chdir(tmp_dir)
+    got = sorted((r.doc_id, r.path, r.text) for r in read_corpus_list(spark, lst).collect())
+    assert [t for *_, t in got] == ["plain.txt", "_under.txt", ".dot.txt", "_folder/x.txt", "plain.txt"] and [p for _, p, _ in got] == lines
+    with open(lst, "a") as f:
+        f.write("c/not-there.txt\n")
+    with pytest.raises(Exception, match="not-there"):
+        read_corpus_list(spark, lst).collect()
+
+
+def test_matrix_of_several_parts(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "m")
+    rows = spark.range(0, 6000).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("vec"))
+    write_matrix(rows.repartition(5), out)
+    m = read_matrix(spark, out)
+    assert m.count() == 6000 and m.filter(F.col("id") != F.col("vec")[0]).count() == 0
+
+
+def test_corpus_job(spark, tmp_dir):
+    """The reference's own matrix and path text through the default analysis, from a folder and from the stored index."""
+    from corpusmap.plans.termvect import TermVectConfig, corpus_job
+
+    os.makedirs(os.path.join(tmp_dir, "docs"))
+    for name, text in (("doc1", "fred sally mary"), ("doc2", "sally mary harry"), ("doc3", "mary harry higgs")):
+        with open(os.path.join(tmp_dir, "docs", name), "w") as f:
+            f.write(text)
+    cfg = TermVectConfig(tf_calc=1, idf_calc=3)
+    index = os.path.join(tmp_dir, "index")
+    corpus_job(spark, index, os.path.join(tmp_dir, "o1"), cfg, doc_dir=os.path.join(tmp_dir, "docs"))
+    assert read_parts(os.path.join(tmp_dir, "o1", "matrix")) == "3 3\n0.0 1.0 1.0\n1.0 1.0 1.0\n1.0 1.0 0.0\n"
+    assert [os.path.basename(x) for x in read_parts(os.path.join(tmp_dir, "o1", "paths")).split()] == ["doc1", "doc2", "doc3"]
+    corpus_job(spark, index, os.path.join(tmp_dir, "o2"), cfg)
+    assert read_parts(os.path.join(tmp_dir, "o1", "matrix")) == read_parts(os.path.join(tmp_dir, "o2", "matrix"))
+    assert read_parts(os.path.join(tmp_dir, "o2", "stats")) == "fred 1 1\nharri 2 2\nhigg 1 1\nmari 3 3\nsalli 2 2\n"
+
+
 def test_index_round_trip_and_field(spark, tmp_dir):
     doc = corpus_from_table(spark.createDataFrame([(5, "x y"), (6, "y")], "id long, body string"), "id", "body")
     tf = term_freqs(doc)
@@ -115,3 +163,5 @@ def test_results_best_sensitivity(spark, tmp_dir):
     assert g.count() == 64 and g.filter(F.col("run_id") == "tfCalc3idfCalc0/perp6.0").count() == 1
     paths = spark.createDataFrame([("data/20news-18828/sci.med/58045",)], "path string")
     assert X.label_from_path(paths, 3).first().label == "sci.med"
+    assert X.label_from_path(paths, 9).first().label == ""
+    assert X.parse_run_name(spark.createDataFrame([("other",)], "run_id string")).first().tf_calc is None

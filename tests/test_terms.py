@@ -94,7 +94,8 @@ def test_tokenizer_modes_and_possessive(spark):
 
 def test_stop_words_and_long_tokens(spark):
     df = spark.createDataFrame([("The cat AND the " + "x" * 256 + " hat",)], "text string")
-    assert df.select(analyze_tokens("text")).first()[0] == ["cat", "hat"]
+    assert df.select(analyze_tokens("text")).first()[0] == ["cat", "x" * 256, "hat"]
+    assert df.select(analyze_tokens("text", max_length=255)).first()[0] == ["cat", "hat"]
 
 
 def test_porter_published_examples():
