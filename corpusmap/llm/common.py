@@ -57,3 +57,10 @@ def new_folder(spark: SparkSession, kind: str, folder: str | None = None) -> str
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path)
     return uri
+
+
+def small(batches, rows: int = 1000):
+    """The rows of Arrow batches, a few at a time, so that little of a batch is unpacked at once."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)

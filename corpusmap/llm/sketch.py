@@ -108,7 +108,7 @@ def count_keys(rows: DataFrame, keys, cells: int) -> Repeated:
 
     parts = rows.mapInArrow(job, "chunk long, one binary, two binary")
     merged = parts.repartition(partitions(rows.sparkSession), "chunk").mapInArrow(_merge, "chunk long, two binary")
-    return Repeated(cells, [(r["chunk"], bytes(r["two"])) for r in merged.toLocalIterator()])
+    return Repeated(cells, [(r["chunk"], bytes(r["two"])) for r in merged.collect()])
 
 
 def rolling(x: np.ndarray, length: int, base: int) -> np.ndarray:

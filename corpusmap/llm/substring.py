@@ -21,16 +21,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.util import cut_lineage
-from .common import partitions, picked
+from .common import partitions, picked, small
 from .sketch import U, anchors, cells_for, count_keys, mix, rolling
 
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 SLICE_WORDS = 500_000  # words hashed at once
-FLUSH = 2_000_000  # windows grouped at once in a task
+FLUSH = 1_000_000  # windows grouped at once in a task
 
 
 class _Words(dict):
@@ -96,15 +96,17 @@ def _runs(order_doc: np.ndarray, start: np.ndarray):
     return first, np.diff(np.append(first, len(start)))
 
 
-def _first_of_equal(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
-    """True for the row that comes first by ``order`` among rows equal in ``keys``."""
+def _first_and_later(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Among rows equal in ``keys``: one that comes first by ``order``, and all that come later than it."""
     by = np.lexsort([*reversed(order), *reversed(keys)])
-    new = np.ones(len(by), bool)
+    new, later = np.ones(len(by), bool), np.zeros(len(by), bool)
     if len(by):
         new[1:] = np.any([k[by][1:] != k[by][:-1] for k in keys], axis=0)
-    out = np.empty(len(by), bool)
-    out[by] = new
-    return out
+        start = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+        later = np.any([o[by] != o[start] for o in order], axis=0)  # a repeated row is not later than itself
+    out = np.empty((2, len(by)), bool)
+    out[:, by] = new, later
+    return out[0], out[1]
 
 
 NULL_ID = -(1 << 63)  # stands for a null id in comparisons, before all others
@@ -156,9 +158,9 @@ def _one_round(rows: DataFrame, window: int, cells: int, r: int, rounds: int) ->
         def grouped():
             k1, k2, doc, tag, start = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            first = _first_of_equal([k1, k2], [doc, tag, start])
+            first, later = _first_and_later([k1, k2], [doc, tag, start])
             yield _rows(k1[first], k2[first], doc[first], tag[first], start[first], np.ones(first.sum(), np.int64))
-            doc, tag, start = (x[~first] for x in (doc, tag, start))
+            doc, tag, start = (x[later] for x in (doc, tag, start))
             by = np.lexsort((start, tag, doc))
             doc, tag, start = doc[by], tag[by], start[by]
             new = np.zeros(len(doc), np.int64)
@@ -182,20 +184,22 @@ def _one_round(rows: DataFrame, window: int, cells: int, r: int, rounds: int) ->
             yield from grouped()
 
     def settle(batches):
-        cols = None
+        cols = []
         for b in batches:
-            now = [_ids(c) for c in b.columns]
-            cols = [now] if cols is None else [*cols, now]
+            found = pc.is_null(b.column("k1"))
+            known = b.filter(found)
+            if len(known):
+                yield known
+            cols.append([_ids(c) for c in b.filter(pc.invert(found)).columns[:5]])
         if cols:
             k1, k2, doc, tag, start = (np.concatenate(x) for x in zip(*cols))
-            later = ~_first_of_equal([k1, k2], [doc, tag, start])
+            _, later = _first_and_later([k1, k2], [doc, tag, start])
             yield _rows(None, None, doc[later], tag[later], start[later], np.ones(later.sum(), np.int64))
 
-    seen = cut_lineage(rows.mapInArrow(emit, WINDOW_ROWS))
-    firsts = seen.filter("k1 is not null").select("k1", "k2", "id", "tag", "start")
-    # at most one row of a window per task (and FLUSH windows) meets here
-    settled = firsts.repartition(partitions(rows.sparkSession), "k1").mapInArrow(settle, WINDOW_ROWS)
-    return seen.filter("k1 is null").unionByName(settled).select("id", "tag", "start", "n")
+    seen = rows.mapInArrow(emit, WINDOW_ROWS)
+    # at most one row of a window per task (and FLUSH windows) meets here; what is settled passes through
+    dealt = seen.repartition(partitions(rows.sparkSession), F.coalesce("k1", F.xxhash64("id", "start")))
+    return dealt.mapInArrow(settle, WINDOW_ROWS).select("id", "tag", "start", "n")
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20,
@@ -218,7 +222,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = rows.join(runs, rows.id.eqNullSafe(runs.rid) & (rows.tag == runs.rtag), "left")
 
     def keep(batches):
-        for b in batches:
+        for b in small(batches):
             out = []
             for text, starts, ns in zip(b.column(1), b.column(2), b.column(3)):
                 words = text.as_py().encode().split()
