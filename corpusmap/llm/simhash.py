@@ -6,10 +6,10 @@ in one of them.  Each segment is indexed once for each of its bits, with that bi
 wildcard; an equality join on (segment, wildcard, rest) finds all candidates, and the
 number of differing bits of the whole fingerprint verifies them.
 
-Only different fingerprints take part; documents with equal ones are one node.  Keys held
-by one fingerprint are dropped by counting.  A key with many fingerprints is dealt out in
-pairs of parts of at most ``part`` fingerprints, so that every pair still meets in some
-task, and a task gives back links enough to connect what it found, not all pairs.
+Only different fingerprints take part; documents with equal ones are one node.  A key with
+many fingerprints is dealt out in pairs of parts of about ``part`` fingerprints, so that
+every pair still meets in some task, and a task gives back links enough to connect what it
+found, not all pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.util import cut_lineage
-from .common import partitions, picked
+from .common import partitions, picked, small
 from .components import connected_components
 
 BITS = 64
@@ -48,7 +48,7 @@ def fingerprint(words: list[bytes], shingle: int) -> int:
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, carry: bool = False) -> DataFrame:
     """``(id, fp)`` (and ``row``): A-Z lower-cased, words between ASCII white space, ``fp`` as a signed 64-bit number."""
     def job(batches):
-        for b in batches:
+        for b in small(batches):
             fps = np.array([fingerprint(t.encode().lower().split(), shingle) for t in b.column("text").to_pylist()], np.uint64)
             cols = [b.column("id"), pa.array(fps.view(np.int64))] + ([b.column("row")] if carry else [])
             yield pa.RecordBatch.from_arrays(cols, names=["id", "fp", *(["row"] if carry else [])])
@@ -89,42 +89,111 @@ def _spanning(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return links
 
 
+def _groups(batches, width: int):
+    """``(columns, edges, more)`` of successive Arrow batches sorted by their first ``width`` columns.
+
+    ``columns`` are numpy arrays; ``edges`` bound the groups in them.  All but the last
+    group are whole; ``more`` tells whether the last may go on in the next batch, whose
+    columns then begin with the rows that the caller leaves in ``columns``.
+    """
+    rest = None
+    for b in _then_none(batches):
+        if b is not None:
+            now = [np.asarray(c).astype(np.int64) for c in b.columns]
+            rest = now if rest is None else [np.concatenate([x, y]) for x, y in zip(rest, now)]
+        if rest is None or not len(rest[0]):
+            continue
+        new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rest[:width]], axis=0)) + 1
+        edges = np.concatenate([[0], new, [len(rest[0])]]).astype(np.int64)
+        left = yield rest, edges, b is not None
+        rest = [x[left:] for x in rest]
+
+
+def _then_none(batches):
+    yield from batches
+    yield None
+
+
+def _links_of(fp: np.ndarray, edges: np.ndarray, max_bits: int) -> np.ndarray:
+    """Links that connect each group of fingerprints, as rows ``(a, b)``, signed and ordered."""
+    size = np.diff(edges)
+    two = edges[:-1][size == 2]
+    near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits
+    found = [np.stack([fp[two[near]], fp[two[near] + 1]], axis=1)]
+    for a, n in zip(edges[:-1][size > 2], size[size > 2]):
+        if pairs := _spanning(fp[a:a + n], max_bits):
+            found.append(np.array(pairs, np.uint64))
+    out = np.concatenate(found).view(np.int64)
+    return np.stack([out.min(axis=1), out.max(axis=1)], axis=1)
+
+
 def links(fps: DataFrame, max_bits: int = 3, part: int = 4096) -> DataFrame:
-    """``(a, b)`` with ``a < b``: links that connect all of ``fps(fp)`` at ``max_bits`` or fewer differing bits."""
+    """``(a, b)`` with ``a < b``: links that connect all of ``fps(fp)`` at ``max_bits`` or fewer differing bits.
+
+    One shuffle brings the fingerprints of a key together.  Groups of up to ``part`` are
+    verified there; the rows of larger ones go on to be dealt out in pairs of parts.
+    """
+    spark = fps.sparkSession
+    schema = "place long, rest long, a long, b long"
+
+    def rows(place, rest, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(rest), pa.array(a), b], names=["place", "rest", "a", "b"])
+
+    def first(batches):
+        groups, left, hot = _groups(batches, 2), None, None
+        try:
+            cols, edges, more = next(groups)
+            while True:
+                place, rest, fp = cols
+                last = int(edges[-2])
+                if more and len(fp) - last <= part and (place[last], rest[last]) != hot:
+                    edges, left = edges[:-1], last  # wait for the rest of the last group
+                else:
+                    left = len(fp)
+                size = np.diff(edges)
+                big = size > part
+                if hot is not None and len(size) and (place[0], rest[0]) == hot:
+                    big[0] = True
+                if len(size) and big[-1] and left == len(fp) and more:
+                    hot = (place[last], rest[last])
+                mine = np.repeat(big, size)
+                if mine.any():
+                    x = fp[:edges[-1]][mine]
+                    yield rows(place[:edges[-1]][mine], rest[:edges[-1]][mine], x, pa.nulls(len(x), pa.int64()))
+                keep = ~mine
+                small = np.concatenate([[0], np.cumsum(size[~big])]).astype(np.int64)
+                pairs = _links_of(fp[:edges[-1]][keep].view(np.uint64), small, max_bits)
+                if len(pairs):
+                    zero = np.zeros(len(pairs), np.int64)
+                    yield rows(zero, zero, pairs[:, 0], pa.array(pairs[:, 1]))
+                cols, edges, more = groups.send(left)
+        except StopIteration:
+            return
+
+    def second(batches):
+        groups = _groups(batches, 4)
+        try:
+            cols, edges, more = next(groups)
+            while True:
+                edges = edges[:-1] if more else edges
+                pairs = _links_of(cols[4].view(np.uint64), edges, max_bits)
+                if len(pairs):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                cols, edges, more = groups.send(int(edges[-1]))
+        except StopIteration:
+            return
+
     keyed = variants(fps, max_bits)
-    held = cut_lineage(keyed.groupBy("place", "rest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    rows = keyed.join(held, ["place", "rest"]).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("place", "rest", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp")
+    dealt = keyed.repartition(partitions(spark), "place", "rest").sortWithinPartitions("place", "rest")
+    found = cut_lineage(dealt.mapInArrow(first, schema))
+    hot = found.filter("b is null").select("place", "rest", F.col("a").alias("fp"))
+    sizes = cut_lineage(hot.groupBy("place", "rest").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")))
+    some = hot.join(sizes, ["place", "rest"]).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    some = some.select("place", "rest", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp")
     group = ["place", "rest", "lo", "hi"]
-
-    def verify(batches):
-        rest = None
-        for b in [*batches, None]:
-            if b is not None:
-                now = [np.asarray(b.column(i)).astype(np.int64) for i in range(5)]
-                rest = now if rest is None else [np.concatenate([x, y]) for x, y in zip(rest, now)]
-            if rest is None or not len(rest[4]):
-                continue
-            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in rest[:4]], axis=0)) + 1
-            edges = np.concatenate([[0], new, [len(rest[4])] if b is None else []]).astype(np.int64)
-            done = int(edges[-1])
-            fp = rest[4][:done].view(np.uint64)
-            size = np.diff(edges)
-            found = []
-            two = edges[:-1][size == 2]
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= max_bits
-            found += [np.stack([fp[two[near]], fp[two[near] + 1]], axis=1)]
-            for a, n in zip(edges[:-1][size > 2], size[size > 2]):
-                if pairs := _spanning(fp[a:a + n], max_bits):
-                    found.append(np.array(pairs, np.uint64))
-            rest = [x[done:] for x in rest]
-            out = np.concatenate(found).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out.min(axis=1)), "b": pa.array(out.max(axis=1))})
-
-    dealt = rows.repartition(partitions(fps.sparkSession), *group).sortWithinPartitions(*group)
-    return dealt.mapInArrow(verify, "a long, b long").filter("a < b").distinct()
+    more = some.repartition(partitions(spark), *group).sortWithinPartitions(*group).mapInArrow(second, "a long, b long")
+    return found.filter("b is not null").select("a", "b").unionByName(more).filter("a < b").distinct()
 
 
 def simhash_components(prints: DataFrame, max_bits: int = 3) -> DataFrame:
