@@ -23,6 +23,7 @@ import numpy as np
 MEMORY = 64 << 20
 SUPER, BLOCK = 64, 4096
 CHUNK = 1 << 20
+NONE = np.iinfo(np.int64).max
 
 
 class Scratch:
@@ -116,8 +117,26 @@ def _induce(text, stype, seeds, symbols_of, counts, down: bool, scratch: Scratch
     far = [_Log(scratch) for _ in range(len(supers) - 1)]
     out, at = _Log(scratch), 0
 
-    def place(near, edges, pos, keys, first):
-        """Append to the parts of ``edges`` from ``first`` on, in order."""
+    def aims(pos):
+        """The key under which each suffix puts the one to its left; NONE if it puts none."""
+        left = np.maximum(pos - 1, 0)
+        return np.where((pos > 0) & (stype[left] == down), rank(symbols_of(left)) * 2, NONE)
+
+    def safe(key, aim):
+        """How many of the pending suffixes may be visited before what they induce joins in."""
+        a, least = 0, NONE
+        while a < len(key):
+            z = min(len(key), a + 512 + a)
+            low = np.minimum(np.minimum.accumulate(aim[a:z]), least)
+            over = key[a:z] > low
+            n = int(over.argmax())
+            if over[n]:
+                return a + n
+            least, a = low[-1], z
+        return a
+
+    def place(near, edges, pos, keys):
+        """Append to the parts of ``edges``, in order."""
         part = np.searchsorted(edges, keys, "right") - 1
         by = np.argsort(part, kind="stable")
         part, pos = part[by], pos[by]
@@ -145,7 +164,7 @@ def _induce(text, stype, seeds, symbols_of, counts, down: bool, scratch: Scratch
         edges = blocks[lo:hi + 1]
         pos = far[s].take()
         if len(pos):
-            place(lambda p, x: inner[p].append(x), edges, pos, rank(symbols_of(pos)), 0)
+            place(lambda p, x: inner[p].append(x), edges, pos, rank(symbols_of(pos)))
         for b in range(hi - lo):
             pending = np.concatenate([*inner[b], np.zeros(0, np.int64)])
             inner[b] = []
@@ -154,29 +173,26 @@ def _induce(text, stype, seeds, symbols_of, counts, down: bool, scratch: Scratch
             key = np.concatenate([rank(symbols_of(pending)) * 2, rank(symbols_of(fresh)) * 2 + 1])
             by = np.argsort(key, kind="stable")
             pos, key = pos[by], key[by]
+            aim = aims(pos)
             while len(pos):
-                left = pos - 1
-                left[pos == 0] = 0
-                wanted = (pos > 0) & (stype[left] == down)
-                aim = np.where(wanted, rank(symbols_of(left)) * 2, np.iinfo(np.int64).max)
-                least = np.minimum.accumulate(aim)
-                n = int(np.argmax(key > least)) if (key > least).any() else len(pos)
-                # all up to n come before anything they induce
-                done = pos[:n]
-                out.add(done[key[:n] % 2 == 0])
-                new, new_key = left[:n][wanted[:n]], aim[:n][wanted[:n]]
-                here = new_key // 2 < edges[b + 1]
+                n = safe(key, aim)  # these come before anything they induce
+                out.add(pos[:n][key[:n] % 2 == 0])
+                wanted = aim[:n] < NONE
+                new, new_key = pos[:n][wanted] - 1, aim[:n][wanted]
+                here = new_key < 2 * edges[b + 1]
+                pos, key, aim = pos[n:], key[n:], aim[n:]
                 if not here.all():
                     away, symbol = new[~here], new_key[~here] // 2
                     near = symbol < edges[-1]
                     if near.any():
-                        place(lambda p, x: inner[p].append(x), edges, away[near], symbol[near], b)
+                        place(lambda p, x: inner[p].append(x), edges, away[near], symbol[near])
                     if not near.all():
-                        place(lambda p, x: far[p].add(x), supers, away[~near], symbol[~near], s)
-                pos, key = np.concatenate([pos[n:], new[here]]), np.concatenate([key[n:], new_key[here]])
-                if here.any():
+                        place(lambda p, x: far[p].add(x), supers, away[~near], symbol[~near])
+                    new, new_key = new[here], new_key[here]
+                if len(new):
+                    pos, key, aim = np.concatenate([pos, new]), np.concatenate([key, new_key]), np.concatenate([aim, aims(new)])
                     by = np.argsort(key, kind="stable")
-                    pos, key = pos[by], key[by]
+                    pos, key, aim = pos[by], key[by], aim[by]
     return out.take()
 
 
