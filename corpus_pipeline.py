@@ -41,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files of all that is left, read back: a row for each document."""
-    out = tokens.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # after the other stages' work in the same Python workers: little memory, at some cost in time
+    out = tokens.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), batch_chars=1_000_000, keep_pieces=100_000)
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 

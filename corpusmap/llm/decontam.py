@@ -145,7 +145,7 @@ def _finder(items, error_rate):
     def find(texts: pa.Array) -> pa.Array:
         if not held:  # once for each Python worker and query
             held["m"] = Matcher(items, error_rate)
-        found = [held["m"].find(normalise(t)) if t else [] for t in texts.to_pylist()]
+        found = [held["m"].find(normalise(t.as_py())) if t.is_valid else [] for t in texts]
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "distance", "start", "end")]))
         return pa.array([[dict(zip(("item_id", "distance", "start", "end"), x)) for x in f] for f in found], kind)
     return find

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import picked
+from .common import picked, small
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ASSIGN_HINTS = ("passw", "secret", "token", "api")  # parts of the words above, to skip texts without any
@@ -86,7 +86,7 @@ def labelled_samples(df: DataFrame, id_col: str, text_col: str, train_docs: int,
 
     def count(batches):
         total = np.zeros((2, STATES * STATES), np.int64)
-        for b in batches:
+        for b in small(batches):
             strings = ([], [])
             for text in b.column(0).to_pylist():
                 base = base_spans(text)
@@ -135,7 +135,7 @@ def scan(df: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: st
     empty texts have no spans; rows with a repeated or null id are scanned like any other.
     """
     def job(batches):
-        for b in batches:
+        for b in small(batches):
             ids, texts = b.column(0), b.column(1).to_pylist()
             base = [base_spans(t) for t in texts]
             where, strings = [], []

@@ -35,6 +35,7 @@ HEADER = "<8sII"
 FOOTER = "<QQQQQQ8s"
 ENDS_SAFE, ENDS_WORD, IS_SIGN = 1, 2, 4  # kinds of pieces
 PLAIN = re.compile(r" ?[\w!-~](?:\S*[\w!-~])?")
+KEEP_PIECES = 400_000
 BLOCK_IDS = 8192  # a multiple of 8, so that blocks end at whole bytes
 
 
@@ -140,7 +141,7 @@ class UnitEncoder:
     forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, together: int = 2000):
+    def __init__(self, path: str, limit: int = KEEP_PIECES, together: int = 2000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -180,7 +181,8 @@ class UnitEncoder:
         joint = [i for i, p in enumerate(plain) if p]
         ids = [None] * len(new)
         for g in (joint[i:i + self.together] for i in range(0, len(joint), self.together)):
-            got = np.array(self._ids("\n".join([new[i] for i in g])), np.uint32)
+            e, = self.tokenizer.encode_batch_fast(["\n".join([new[i] for i in g])], add_special_tokens=False)
+            got = np.array(e.ids, np.uint32)
             ends = np.append(np.flatnonzero(got == self.line_end), len(got)).tolist()
             if len(ends) != len(g):
                 raise ValueError("the tokenizer doesn't keep line ends apart")
@@ -235,15 +237,16 @@ class _Places(dict):
 _ENCODERS: dict = {}
 
 
-def _encoder(path: str) -> UnitEncoder:
+def _encoder(path: str, limit: int) -> UnitEncoder:
     """One encoder for each Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
+    _ENCODERS[path].limit = limit
     return _ENCODERS[path]
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, out_uri: str, end_id: int, id_col: str = "doc_id",
-                 text_col: str = "text", vocabulary: int | None = None, batch_chars: int = 4_000_000) -> DataFrame:
+                 text_col: str = "text", vocabulary: int | None = None, batch_chars: int = 2_000_000, keep_pieces: int = KEEP_PIECES) -> DataFrame:
     """Encode every text, write shards in ascending id order, return ``(shard, uri, n_docs, n_tokens)``.
 
     Each text gets ``end_id`` at its end; a null or empty text is that id alone.  Null
@@ -269,7 +272,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, out_uri: str, end_id: int,
                     chars += size[j]
                     j += 1
                 writer = writer or Writer(uri, bits)
-                writer.add(ids[i:j], *_encoder(tokenizer_path).encode(texts[i:j].to_pylist(), end_id))
+                writer.add(ids[i:j], *_encoder(tokenizer_path, keep_pieces).encode(texts[i:j].to_pylist(), end_id))
                 i = j
         if writer:
             writer.close()
@@ -314,15 +317,17 @@ def read_tokens(shards: DataFrame, chunk_ids: int = 4_000_000) -> DataFrame:
 
 
 def token_files(df: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-                out_uri: str | None = None) -> DataFrame:
+                out_uri: str | None = None, batch_chars: int = 2_000_000, keep_pieces: int = KEEP_PIECES) -> DataFrame:
     """Write all documents as token files, read them back: ``id, start, n_tokens, ids_crc32, shard, uri``.
 
     ``start`` counts the tokens of all documents before this one.  Files go to a new
-    folder in the checkpoint folder unless ``out_uri`` names one.
+    folder in the checkpoint folder unless ``out_uri`` names one.  ``batch_chars`` and
+    ``keep_pieces`` bound what a Python worker holds of texts and of pieces encoded before.
     """
     spark = df.sparkSession
     out_uri = new_folder(spark, "tokens", out_uri)
-    shards = cut_lineage(write_tokens(df, tokenizer_path, out_uri, end_id, id_col, text_col))
+    shards = cut_lineage(write_tokens(df, tokenizer_path, out_uri, end_id, id_col, text_col,
+                                     batch_chars=batch_chars, keep_pieces=keep_pieces))
     # one row for each shard file: their prefix sums are small whatever the corpus
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = shards.select("shard", "uri", F.coalesce(before, F.lit(0)).alias("offset"))

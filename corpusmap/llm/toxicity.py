@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import picked
+from .common import picked, small
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
@@ -33,7 +33,7 @@ class _Buckets(dict):
 
     def __missing__(self, word):
         n = zlib.crc32(word.encode()) % BUCKETS
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = n
         return n
 
@@ -70,7 +70,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     def job(batches):
         buckets = _Buckets()
-        for b in batches:
+        for b in small(batches):
             found = [features(t, buckets) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], names=["positive", "features"])
 
@@ -157,7 +157,7 @@ def scorer(weights: np.ndarray):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         buckets = held.setdefault("b", _Buckets())
-        total = np.array([float(weights[features(t, buckets)].sum(dtype=np.float64)) if t else 0.0 for t in texts.to_pylist()])
+        total = np.array([float(weights[features(t.as_py(), buckets)].sum(dtype=np.float64)) if t.is_valid else 0.0 for t in texts])
         return pa.array(1 / (1 + np.exp(-np.clip(total + weights[-1], -50, 50))), pa.float64())
     return score
 
