@@ -3,7 +3,8 @@
 An item of ``m`` characters may differ by ``k = floor(error_rate * m)`` edits.  Cut into
 ``k + 1`` pieces, any text within ``k`` edits holds at least one piece unchanged.  All
 pieces are searched at once with an Aho-Corasick automaton; around each hit, Myers'
-bit-parallel distance finds the best end of the whole item.
+bit-parallel distance finds the best end of the whole item.  Items below ``MIN_CHARS``
+characters are found unchanged only, as whole words.
 
 Items and texts are compared lower-cased, with every run of other characters than
 letters and digits as one space.  Benchmarks are sent to the tasks in blocks of at most
@@ -65,15 +66,17 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Finds the items in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
         self.items, places = [], {}
+        self.pad = int(any(len(text) < min_chars for _, text in items))  # spaces around a text, for words at its ends
         for item_id, text in items:
-            errors = int(error_rate * len(text))
+            short = len(text) < min_chars
+            errors = 0 if short else int(error_rate * len(text))
             n = len(self.items)
-            self.items.append((item_id, text, errors))
-            for at, piece in pieces(text, errors):
+            self.items.append((item_id, text, errors, short))
+            for at, piece in [(-1, f" {text} ")] if short else pieces(text, errors):
                 places.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
@@ -82,16 +85,19 @@ class Matcher:
             self.automaton.make_automaton()
         self.any = bool(places)
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+    def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
         """``(item_id, distance, start, end)`` of the best match of each item; the start is a lower bound."""
         starts: dict[int, set] = {}
         if self.any and text:
-            for last, (size, where) in self.automaton.iter(text):
+            for last, (size, where) in self.automaton.iter(f" {text} " if self.pad else text):
                 for n, at in where:
-                    starts.setdefault(n, set()).add(last + 1 - size - at)
+                    starts.setdefault(n, set()).add(last + 1 - size - at - self.pad)
         found = []
         for n, places in starts.items():
-            item_id, item, errors = self.items[n]
+            item_id, item, errors, short = self.items[n]
+            if short:
+                found.append((item_id, 0, min(places), min(places) + len(item)))
+                continue
             best = None
             lo = hi = None
             for s in [*sorted(places), None]:  # hits whose windows meet are searched once
@@ -113,15 +119,19 @@ MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Stru
                                   T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, min_chars: int, block_chars: int):
-    """Lists of ``(item_id, normalised text)``; items shorter than ``min_chars`` are left out, repeated ones come once."""
-    items = picked(benchmark, id_col, text_col).filter("id is not null").distinct()
+@F.arrow_udf(T.StringType())
+def _normalised(texts: pa.Array) -> pa.Array:
+    return pa.array([normalise(t.as_py()) for t in texts], pa.string())
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int):
+    """Lists of ``(item_id, normalised text)``; empty items are left out, repeated ones come once, ids may be null."""
+    items = picked(benchmark, id_col, text_col).select("id", _normalised("text").alias("text")).filter("text <> ''").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-int(chars) // block_chars)
     for i in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()
-        texts = sorted({(r["id"], normalise(r["text"])) for r in block})
-        yield [(n, t) for n, t in texts if len(t) >= min_chars]
+        block = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i).collect()
+        yield sorted(((r["id"], r["text"]) for r in block), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def with_matches(df: DataFrame, benchmark: DataFrame, text_col: str = "text", out_col: str = "matches",
@@ -130,21 +140,23 @@ def with_matches(df: DataFrame, benchmark: DataFrame, text_col: str = "text", ou
     """``df`` with ``out_col``: array of ``(item_id, distance, start, end)``, positions in the normalised text.
 
     Null and empty texts match nothing, and an empty benchmark finds nothing.  Items below
-    ``min_chars`` normalised characters and items without an id are not searched for.
+    ``min_chars`` normalised characters match unchanged, between spaces or the text's ends;
+    items without an id are found with a null ``item_id``.  Only items without any letter
+    or digit are not searched for.
     """
     out = F.array().cast(MATCH)
-    for items in item_blocks(benchmark, item_id_col, item_text_col, min_chars, block_chars):
-        out = F.concat(out, _finder(items, error_rate)(F.col(f"`{text_col}`")))
+    for items in item_blocks(benchmark, item_id_col, item_text_col, block_chars):
+        out = F.concat(out, _finder(items, error_rate, min_chars)(F.col(f"`{text_col}`")))
     return df.withColumn(out_col, out)
 
 
-def _finder(items, error_rate):
+def _finder(items, error_rate, min_chars):
     held = {}
 
     @F.arrow_udf(MATCH)
     def find(texts: pa.Array) -> pa.Array:
         if not held:  # once for each Python worker and query
-            held["m"] = Matcher(items, error_rate)
+            held["m"] = Matcher(items, error_rate, min_chars)
         found = [held["m"].find(normalise(t.as_py())) if t.is_valid else [] for t in texts]
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("item_id", "distance", "start", "end")]))
         return pa.array([[dict(zip(("item_id", "distance", "start", "end"), x)) for x in f] for f in found], kind)

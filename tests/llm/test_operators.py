@@ -268,6 +268,19 @@ def test_decontamination(spark):
     assert Counter((r.id, r.item_id, r.distance) for r in blocks.collect()) == want
 
 
+def test_decontamination_of_short_and_nameless_items(spark):
+    """Items below MIN_CHARS as whole words, items without an id; empty ones are all that is left out."""
+    nameless = "no id here at all, of some length, for sure"
+    bench = spark.createDataFrame([(1, "What is 12*7?"), (1, "what is 12 7"), (2, "Oslo"), (None, nameless), (None, "x + y"), (4, "?!"), (5, None)],
+                                  "item_id long, text string")
+    rows = [(10, "What is 12*7?"), (11, "he asks: what is 12 * 7, and more"), (12, "what is 12 70"), (13, "somewhat is 12 7"), (14, "OSLO"),
+            (15, "oslo, oslo"), (16, "oslos"), (17, "in " + nameless.replace("sure", "sura")), (18, "x+y"), (19, "?!"), (20, None), (21, "")]
+    want = Counter([(10, 1, 0, 0, 12), (11, 1, 0, 8, 20), (14, 2, 0, 0, 4), (15, 2, 0, 0, 4), (17, None, 1), (18, None, 0, 0, 3)])
+    for block_chars in (16_000_000, 20):
+        got = decontam.contaminated(table(spark, rows), bench, block_chars=block_chars).collect()
+        assert Counter(tuple(r) if r.id != 17 else tuple(r)[:3] for r in got) == want
+
+
 # ----------------------------------------------------------------- mixing
 def water_fill(sizes, weights, total, epochs):
     capped = set()
