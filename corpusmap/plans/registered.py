@@ -681,13 +681,13 @@ def q_dense(spark, sf_dir):
 
 @register("x3_x4_sweep_2x2x2")
 def q_sweep(spark, sf_dir):
-    """Batched sweep over tf {0,3} × idf {0,1} × perplexity {6,3}, 10 iterations, docs labelled by lang."""
-    from .termvect import TermVectConfig
-    from .tsne import TsneConfig
+    """The reference's whole experiment, 4 tf × 4 idf × 4 perplexities with 500 iterations, docs labelled by lang.
+
+    The name is from an earlier, smaller grid.
+    """
     doc = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"))
-    params = X.grid(spark, (0, 3), (0, 1), (6.0, 3.0))
-    result, _ = X.sweep(doc, labels, params, TsneConfig(max_iter=10, eval_every=100, method="exact"), analysis=TermVectConfig(**PLAIN))
+    result, _ = X.sweep(doc, labels, X.grid(spark))
     return result
 
 

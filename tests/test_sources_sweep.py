@@ -165,3 +165,26 @@ def test_results_best_sensitivity(spark, tmp_dir):
     assert X.label_from_path(paths, 3).first().label == "sci.med"
     assert X.label_from_path(paths, 9).first().label == ""
     assert X.parse_run_name(spark.createDataFrame([("other",)], "run_id string")).first().tf_calc is None
+
+
+def test_sweep_query_runs_the_whole_experiment(spark, monkeypatch):
+    import inspect
+
+    from corpusmap.plans import registered, sweep
+    from corpusmap.plans.termvect import TermVectConfig
+    seen = {}
+    sig = inspect.signature(sweep.sweep)
+
+    def record(*args, **options):
+        call = sig.bind(*args, **options)
+        call.apply_defaults()
+        seen.update(call.arguments)
+        return None, None
+    monkeypatch.setattr(registered.X, "sweep", record)
+    monkeypatch.setattr(registered, "documents", lambda *a: None)
+    monkeypatch.setattr(registered, "table", lambda *a: spark.createDataFrame([(1, "en")], "doc_id long, lang string"))
+    registered.QUERIES["x3_x4_sweep_2x2x2"](spark, "")
+    settings = {(r.tf_calc, r.idf_calc, r.perplexity) for r in seen["params"].collect()}
+    assert settings == {(t, i, p) for t in range(4) for i in range(4) for p in (6.0, 3.0, 1.0, 30.0)}
+    assert (seen["cfg"].max_iter, seen["cfg"].start_iter, seen["cfg"].method, seen["cfg"].theta) == (500, 0, "bh", 0.001)
+    assert seen["analysis"] == TermVectConfig() and (seen["min_df"], seen["max_df"]) == (20, 1000)
