@@ -7,10 +7,10 @@ follow from them: the sorted suffixes are visited in order, and each visit puts
 one place to the left into a queue under its first symbol.  What is put under one symbol
 arrives in sorted order, so the queue never sorts by more than that symbol.
 
-Texts, types, orders and the queue live in files of a scratch folder once they pass
-``MEMORY`` bytes; the queue keeps one of its SUPER parts in memory at a time, and within
-it works through BLOCK suffixes at once with numpy.  What stays in memory is a number for
-each seed.
+Texts, types, seeds, names, orders, counts and the queue live in files of a scratch folder
+once they pass ``MEMORY`` bytes, and are worked through in chunks.  The queue has a part in
+memory at a time, of about a 64th of ``MEMORY`` suffixes, and works through BLOCK suffixes
+at once with numpy; a symbol with more suffixes than a part is read from its file by chunks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import uuid
 import numpy as np
 
 MEMORY = 64 << 20
-SUPER, BLOCK = 64, 4096
+PARTS, BLOCK = 64, 4096
 CHUNK = 1 << 20
 NONE = np.iinfo(np.int64).max
 
@@ -47,37 +47,56 @@ class Scratch:
 
 
 class _Log:
-    """Numbers appended in order; beyond the scratch's memory share they go to a file."""
+    """Numbers appended in order; beyond ``most`` bytes in memory they go to a file."""
 
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.parts, self.held, self.file, self.n = scratch, [], 0, None, 0
+    def __init__(self, scratch: Scratch, most: int):
+        self.scratch, self.most, self.parts, self.held, self.path = scratch, most, [], 0, None
 
     def add(self, a: np.ndarray):
         self.parts.append(a)
         self.held += a.nbytes
-        self.n += len(a)
-        if self.held > self.scratch.memory // SUPER:
-            self.file = self.file or open(self.scratch.path(), "w+b")
+        if self.held > self.most:
+            self._write()
+
+    def _write(self):
+        self.path = self.path or self.scratch.path()
+        with open(self.path, "ab") as file:  # open only now: there may be many logs
             for p in self.parts:
-                p.astype(np.int64).tofile(self.file)
-            self.parts, self.held = [], 0
+                p.astype(np.int64).tofile(file)
+        self.parts, self.held = [], 0
 
     def take(self) -> np.ndarray:
         """All that was added, in order (still in its file if that is large); the log is empty afterwards."""
-        if self.file:
-            for p in self.parts:
-                p.astype(np.int64).tofile(self.file)
-            self.file.close()
-            found = np.memmap(self.file.name, np.int64, "r+")
+        if self.path:
+            self._write()
+            found = np.memmap(self.path, np.int64, "r+")
             if found.nbytes <= self.scratch.memory:
                 kept = np.array(found)
                 self.scratch.free(found)
                 found = kept
         else:
             found = np.concatenate([*self.parts, np.zeros(0, np.int64)]).astype(np.int64)
-        self.parts, self.held, self.file, self.n = [], 0, None, 0
+        self.parts, self.held, self.path = [], 0, None
         return found
 
+    def drain(self, step: int):
+        """All that was added, also meanwhile, in chunks of about ``step``; the log is empty afterwards."""
+        at = 0
+        while True:
+            if self.path and os.path.getsize(self.path) > at:
+                some = np.fromfile(self.path, np.int64, step, offset=at)
+                at += some.nbytes
+                yield some
+            elif self.parts:
+                some, self.parts, self.held = np.concatenate(self.parts).astype(np.int64), [], 0
+                for a in range(0, len(some), step):
+                    yield some[a:a + step]
+            else:
+                break
+        if self.path:
+            os.unlink(self.path)
+            self.path = None
+
 
 def _types(text: np.ndarray, scratch: Scratch) -> np.ndarray:
     """True for S."""
@@ -98,9 +117,15 @@ def _types(text: np.ndarray, scratch: Scratch) -> np.ndarray:
 
 
 def _edges(counts: np.ndarray, most: int) -> np.ndarray:
-    """Symbols at which parts of about ``most`` suffixes begin, the number of symbols last."""
-    part = (np.cumsum(counts) - counts) // max(1, most)
-    return np.append(np.flatnonzero(np.diff(part, prepend=-1) > 0), len(counts))
+    """Symbols at which parts of about ``most`` suffixes begin, the number of symbols last; a symbol with more is a part."""
+    found, last, total = [], -1, 0
+    for a in range(0, len(counts), CHUNK):
+        n = np.asarray(counts[a:a + CHUNK])
+        part = (total + np.cumsum(n) - n) // max(1, most)
+        heavy = np.flatnonzero(n > most)
+        found.append(a + np.union1d(np.flatnonzero(np.diff(part, prepend=last) > 0), np.append(heavy, heavy + 1)))
+        last, total = part[-1], total + int(n.sum())
+    return np.unique(np.append(np.concatenate(found), len(counts)))
 
 
 def _induce(text, stype, seeds, symbols_of, counts, down: bool, scratch: Scratch) -> np.ndarray:
@@ -112,10 +137,11 @@ def _induce(text, stype, seeds, symbols_of, counts, down: bool, scratch: Scratch
     sigma = len(counts)
     rank = (lambda s: sigma - 1 - s) if down else (lambda s: s)
     sized = counts[::-1] if down else counts
-    blocks = _edges(sized, BLOCK)
-    supers = blocks[np.unique(np.append(np.linspace(0, len(blocks) - 1, SUPER + 1).astype(int), len(blocks) - 1))]
-    far = [_Log(scratch) for _ in range(len(supers) - 1)]
-    out, at = _Log(scratch), 0
+    part = max(BLOCK, scratch.memory // PARTS)  # suffixes
+    supers = _edges(sized, part)
+    most = scratch.memory // (2 * len(supers))
+    far = [_Log(scratch, most) for _ in range(len(supers) - 1)]
+    out, at = _Log(scratch, scratch.memory // PARTS), 0
 
     def aims(pos):
         """The key under which each suffix puts the one to its left; NONE if it puts none."""
@@ -144,28 +170,61 @@ def _induce(text, stype, seeds, symbols_of, counts, down: bool, scratch: Scratch
         for a, z in zip(cut, np.append(cut[1:], len(part))):
             near(part[a], pos[a:z])
 
-    def seeds_until(limit):
+    def seed_chunks(limit):
         """The next seeds with keys below ``limit``."""
         nonlocal at
-        got = []
         while at < len(seeds):
             some = np.asarray(seeds[at:at + BLOCK]).astype(np.int64)
             keys = rank(symbols_of(some))
             n = int(np.searchsorted(keys, limit))
-            got.append(some[:n])
             at += n
+            if n:
+                yield some[:n]
             if n < len(some):
                 break
-        return np.concatenate([*got, np.zeros(0, np.int64)]).astype(np.int64)
+
+    def seeds_until(limit):
+        return np.concatenate([*seed_chunks(limit), np.zeros(0, np.int64)])
+
+    def put(new, symbol):
+        """Queue ``new`` under their symbols: in the part in memory, or in the logs of the others."""
+        near = symbol < edges[-1]
+        if near.any():
+            place(lambda p, x: inner[p].append(x), edges, new[near], symbol[near])
+        if not near.all():
+            place(lambda p, x: far[p].add(x), supers, new[~near], symbol[~near])
+
+    def pass_on(pos):
+        """Queue what ``pos``, all under one symbol, induce."""
+        aim = aims(pos)
+        wanted = aim < NONE
+        put(pos[wanted] - 1, aim[wanted] // 2)
 
     for s in range(len(supers) - 1):
-        lo, hi = int(np.searchsorted(blocks, supers[s])), int(np.searchsorted(blocks, supers[s + 1]))
-        inner = [[] for _ in range(hi - lo)]
-        edges = blocks[lo:hi + 1]
-        pos = far[s].take()
+        if supers[s + 1] - supers[s] == 1 and sized[supers[s]] > BLOCK:
+            # one symbol: its induced suffixes come in the order of its queue, and what they
+            # put under the same symbol joins its end; its seeds induce under later ones
+            edges, inner = supers[:1], []
+            for some in far[s].drain(max(BLOCK, CHUNK // 16)):
+                out.add(some)
+                pass_on(some)
+            for some in seed_chunks(supers[s + 1]):
+                pass_on(some)
+            continue
+        edges = supers[s] + _edges(sized[supers[s]:supers[s + 1]], BLOCK)
+        inner = [[] for _ in range(len(edges) - 1)]
+        pos = np.asarray(far[s].take())
         if len(pos):
             place(lambda p, x: inner[p].append(x), edges, pos, rank(symbols_of(pos)))
-        for b in range(hi - lo):
+        for b in range(len(edges) - 1):
+            if edges[b + 1] - edges[b] == 1:  # in the same way, in memory
+                while inner[b]:
+                    pending, inner[b] = np.concatenate(inner[b]), []
+                    out.add(pending)
+                    pass_on(pending)
+                for some in seed_chunks(edges[b + 1]):
+                    pass_on(some)
+                continue
             pending = np.concatenate([*inner[b], np.zeros(0, np.int64)])
             inner[b] = []
             fresh = seeds_until(edges[b + 1])
@@ -182,12 +241,7 @@ def _induce(text, stype, seeds, symbols_of, counts, down: bool, scratch: Scratch
                 here = new_key < 2 * edges[b + 1]
                 pos, key, aim = pos[n:], key[n:], aim[n:]
                 if not here.all():
-                    away, symbol = new[~here], new_key[~here] // 2
-                    near = symbol < edges[-1]
-                    if near.any():
-                        place(lambda p, x: inner[p].append(x), edges, away[near], symbol[near])
-                    if not near.all():
-                        place(lambda p, x: far[p].add(x), supers, away[~near], symbol[~near])
+                    put(new[~here], new_key[~here] // 2)
                     new, new_key = new[here], new_key[here]
                 if len(new):
                     pos, key, aim = np.concatenate([pos, new]), np.concatenate([key, new_key]), np.concatenate([aim, aims(new)])
@@ -198,40 +252,100 @@ def _induce(text, stype, seeds, symbols_of, counts, down: bool, scratch: Scratch
 
 def _all(text, stype, seeds, scratch):
     """``(order of L suffixes, order of S suffixes)`` induced from sorted seeds."""
-    counts = _counts(text)
+    counts = _counts(text, scratch)
     symbols_of = lambda pos: text[pos].astype(np.int64)
     large = _induce(text, stype, seeds, symbols_of, counts, False, scratch)
     # the last suffix has nothing after it: visited first going up, never induced
     small = _induce(text, stype, large[::-1], symbols_of, counts, True, scratch)[::-1]
+    scratch.free(counts)
     return large, small
 
 
-def _counts(text) -> np.ndarray:
-    total = np.zeros(int(text.max()) + 1, np.int64)
-    for a in range(0, len(text), CHUNK):
-        total += np.bincount(text[a:a + CHUNK], minlength=len(total))
+def _chunks(n: int):
+    return ((a, min(n, a + CHUNK)) for a in range(0, n, CHUNK))
+
+
+def _counts(text, scratch, at=None) -> np.ndarray:
+    """How often each symbol comes, in the text or at the places ``at``."""
+    total = scratch.array(max(int(text[a:z].max()) for a, z in _chunks(len(text))) + 1, np.int64)
+    for a, z in _chunks(len(text if at is None else at)):
+        some = text[a:z] if at is None else text[at[a:z]]
+        if len(total) <= CHUNK:
+            total += np.bincount(some, minlength=len(total))
+        else:
+            symbol, n = np.unique(some, return_counts=True)
+            total[symbol] += n
     return total
 
 
+def _before(counts, scratch) -> np.ndarray:
+    """The sum of the counts before each."""
+    out, total = scratch.array(len(counts), np.int64), 0
+    for a, z in _chunks(len(counts)):
+        n = np.asarray(counts[a:z])
+        out[a:z] = total + np.cumsum(n) - n
+        total += int(n.sum())
+    return out
+
+
 def _names(text, starts, order, scratch):
-    """Names of the seeds' substrings (up to the next seed), by their sorted order: equal ones get equal names."""
-    ends = np.append(starts[1:], starts[-1]) + 1
-    slot = np.searchsorted(starts, order)
-    length = (ends - starts)[slot]
-    first = order
-    differ = np.ones(len(order), bool)
-    differ[1:] = length[1:] != length[:-1]
-    left = np.flatnonzero(~differ)
-    step = 0
-    while len(left):
-        unequal = text[first[left] + step] != text[first[left - 1] + step]
-        differ[left[unequal]] = True
-        left = left[~unequal]
-        step += 1
-        left = left[length[left] > step]
-    name = np.empty(len(starts), np.int64)
-    name[slot] = np.cumsum(differ) - 1
-    return name
+    """``(names, the largest)`` of the seeds' substrings (up to the next seed), by their sorted order: equal ones get equal names."""
+    n = len(starts)
+    name, last = scratch.array(n, np.int64), -1
+    for a, z in _chunks(n):
+        first = np.asarray(order[max(0, a - 1):z])  # with the one before the chunk
+        slot = np.searchsorted(starts, first)
+        length = np.asarray(starts[np.minimum(slot + 1, n - 1)]) + 1 - first
+        differ = np.ones(len(first), bool)
+        differ[1:] = length[1:] != length[:-1]
+        left = np.flatnonzero(~differ)
+        step = 0
+        while len(left):
+            unequal = text[first[left] + step] != text[first[left - 1] + step]
+            differ[left[unequal]] = True
+            left = left[~unequal]
+            step += 1
+            left = left[length[left] > step]
+        own = slice(min(a, 1), None)
+        found = last + np.cumsum(differ[own])
+        name[slot[own]] = found
+        last = int(found[-1])
+    return name, last
+
+
+def _seeds(stype, scratch) -> np.ndarray:
+    """The places of the seeds, from left to right."""
+    def found():
+        for a, z in _chunks(len(stype) - 1):
+            yield a + 1 + np.flatnonzero(np.asarray(stype[a + 1:z + 1]) & ~np.asarray(stype[a:z]))
+
+    out, at = scratch.array(sum(map(len, found())), np.int64), 0
+    for some in found():
+        out[at:at + len(some)] = some
+        at += len(some)
+    return out
+
+
+def _by_symbol(text, starts, scratch) -> np.ndarray:
+    """``starts`` stably sorted by their first symbols."""
+    counts = _counts(text, scratch, starts)
+    free = _before(counts, scratch)  # the next place of each symbol
+    out = scratch.array(len(starts), np.int64)
+    for a, z in _chunks(len(starts)):
+        some = np.asarray(starts[a:z])
+        symbol = text[some].astype(np.int64)
+        by = np.argsort(symbol, kind="stable")
+        some, symbol = some[by], symbol[by]
+        first = np.flatnonzero(np.diff(symbol, prepend=-1))
+        n = np.diff(np.append(first, len(symbol)))
+        out[free[symbol] + np.arange(len(symbol)) - np.repeat(first, n)] = some
+        free[symbol[first]] += n
+    scratch.free(counts, free)
+    return out
+
+
+def _base(a):
+    return a.base if isinstance(a.base, np.memmap) else a
 
 
 def suffix_order(text: np.ndarray, scratch: Scratch) -> np.ndarray:
@@ -240,42 +354,50 @@ def suffix_order(text: np.ndarray, scratch: Scratch) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     stype = _types(text, scratch)
-    seed = np.zeros(n, bool)
-    seed[1:] = np.asarray(stype[1:]) & ~np.asarray(stype[:-1])
-    starts = np.flatnonzero(seed)
-    rough = starts[np.argsort(text[starts], kind="stable")]
+    starts = _seeds(stype, scratch)
+    rough = _by_symbol(text, starts, scratch)
     large, small = _all(text, stype, rough, scratch)
-    order = np.concatenate([[n - 1], *(x[seed[x]] for x in (small[a:a + CHUNK] for a in range(0, len(small), CHUNK)))])
-    scratch.free(large, small.base if isinstance(small.base, np.memmap) else None)
-    name = _names(text, starts, order, scratch)
-    if name.max() + 1 < len(starts):
-        kind = np.uint16 if name.max() < 65536 else np.uint32
-        short = scratch.array(len(name), kind)
-        short[:] = name
-        seeds = starts[suffix_order(short, scratch)]
-        scratch.free(short)
+    scratch.free(rough)
+    order, at = scratch.array(len(starts), np.int64), 1
+    order[0] = n - 1
+    for a, z in _chunks(len(small)):
+        some = np.asarray(small[a:z])
+        some = some[(some > 0) & ~np.asarray(stype[np.maximum(some - 1, 0)])]
+        order[at:at + len(some)] = some
+        at += len(some)
+    scratch.free(large, _base(small))
+    name, most = _names(text, starts, order, scratch)
+    scratch.free(order)
+    seeds = scratch.array(len(starts), np.int64)
+    if most + 1 < len(starts):
+        short = scratch.array(len(name), np.uint16 if most < 65536 else np.uint32)
+        for a, z in _chunks(len(name)):
+            short[a:z] = name[a:z]
+        scratch.free(name)
+        inner = suffix_order(short, scratch)
+        for a, z in _chunks(len(inner)):
+            seeds[a:z] = starts[inner[a:z]]
+        scratch.free(short, inner)
     else:
-        seeds = np.empty(len(starts), np.int64)
-        seeds[name] = starts
+        for a, z in _chunks(len(name)):
+            seeds[name[a:z]] = starts[a:z]
+        scratch.free(name)
+    scratch.free(starts)
     large, small = _all(text, stype, seeds, scratch)
-    scratch.free(stype)
+    scratch.free(stype, seeds)
     out = scratch.array(n, np.int64)
     out[0] = n - 1
     # under each symbol, L comes before S; the last suffix is the first of all
-    counts = _counts(text)
-    counts_large = np.zeros(len(counts), np.int64)
-    for a in range(0, len(large), CHUNK):
-        counts_large += np.bincount(text[large[a:a + CHUNK]], minlength=len(counts))
-    begin = np.cumsum(counts) - counts
+    counts, counts_large = _counts(text, scratch), _counts(text, scratch, large)
+    begin, large_before = _before(counts, scratch), _before(counts_large, scratch)
     # among its own kind a suffix keeps its order: its place shifts by the others before it
-    shift_large = begin - (np.cumsum(counts_large) - counts_large)
-    small_before = np.cumsum(counts - counts_large) - (counts - counts_large)
-    shift_small = begin + counts_large - small_before
-    for own, shift, skip in ((large, shift_large, 0), (small, shift_small, 1)):
-        for a in range(0, len(own), CHUNK):
-            some = np.asarray(own[a:a + CHUNK])
-            out[np.arange(a, a + len(some)) + skip + shift[text[some]]] = some
-    scratch.free(large, small.base if isinstance(small.base, np.memmap) else None)
+    for own, skip in ((large, 0), (small, 1)):
+        for a, z in _chunks(len(own)):
+            some = np.asarray(own[a:z])
+            symbol = text[some]
+            shift = counts_large[symbol] + large_before[symbol] if skip else begin[symbol] - large_before[symbol]
+            out[np.arange(a, z) + skip + shift] = some
+    scratch.free(large, _base(small), counts, counts_large, begin, large_before)
     return out
 
 

@@ -178,6 +178,35 @@ def test_induced_sorting(tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir()) or all(p.is_file() for p in tmp_path.iterdir())
 
 
+@pytest.mark.parametrize("symbols", [4, 50_000])
+def test_induced_sorting_in_little_memory(tmp_path, symbols):
+    """A large text, past the scratch's memory share: nothing near a number for each seed, or each suffix of a symbol, stays in memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(symbols)
+    n = 400_000
+    t = np.append(rng.integers(1, symbols + 1, n), 0).astype(np.uint16)
+    path = tmp_path / "text"
+    t.tofile(path)
+    text = np.memmap(path, np.uint16, "r")
+    chunk, induced.CHUNK = induced.CHUNK, 1 << 14
+    tracemalloc.start()
+    try:
+        order = induced.suffix_order(text, induced.Scratch(str(tmp_path), 1 << 19))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        induced.CHUNK = chunk
+    assert isinstance(order, np.memmap) and (np.bincount(order, minlength=n + 1) == 1).all()
+    assert sorted(map(str, tmp_path.iterdir())) == sorted([str(path), str(order.filename)])  # all else is freed
+    rank = np.empty(n + 2, np.int64)  # a suffix is ordered by its first symbol, then by the suffix after it
+    rank[order] = np.arange(n + 1)
+    rank[n + 1] = -1
+    a, b = order[:-1], order[1:]
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[a + 1] < rank[b + 1]))).all()
+    assert most < 8_000_000, most
+
+
 @pytest.mark.parametrize("memory", [512, 64 << 20])
 def test_suffix_dedup(spark, memory):
     rnd = random.Random(3)
