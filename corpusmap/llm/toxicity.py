@@ -55,12 +55,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     ``usable`` maps an id column to whether its row may be learnt from.  The share is
     counted over all usable labels; labels that are null or lack an id are left out.
+    None if no document is labelled toxic.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.filter(usable(F.col("id")) & F.col("label").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
     total, positive = known.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not positive:
-        raise ValueError("no document is labelled toxic")
+        return None
     chosen = known.filter((F.col("label") == 1) & _share(F.xxhash64("id", F.lit(seed)), positive, max_positives)).select("id")
     rows = picked(docs, id_col, text_col).filter(usable(F.col("id")))
     n = docs.count()
@@ -130,8 +131,8 @@ def fit_nnpu(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
     return w
 
 
-def train(sample: DataFrame, prior: float, **options) -> np.ndarray:
-    """Fit in one task: the sample is bounded.  The weights (2 MB) come to the driver."""
+def train(sample: DataFrame, prior: float, **options) -> np.ndarray | None:
+    """Fit in one task: the sample is bounded.  The weights (2 MB) come to the driver; None if no toxic document is in the sample."""
     def job(batches):
         rows = ([], [])
         for b in batches:
@@ -144,9 +145,7 @@ def train(sample: DataFrame, prior: float, **options) -> np.ndarray:
     # a total order, so that the fit doesn't depend on how the rows arrive
     ordered = sample.repartition(1).sortWithinPartitions("positive", F.xxhash64("features"), F.size("features"))
     got = ordered.mapInArrow(job, "w binary").first()
-    if got is None:
-        raise ValueError("no labelled toxic document has a text")
-    return np.frombuffer(got["w"], np.float64)
+    return None if got is None else np.frombuffer(got["w"], np.float64)
 
 
 def scorer(weights: np.ndarray):
@@ -172,11 +171,9 @@ def classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     Without any usable label nothing can be learnt: every text then scores 0.
     """
-    try:
-        sample, prior = training_sample(docs, labels, id_col, text_col, label_col, lambda c: c.isNotNull() & ~held_out(c))
-        return scorer(train(sample, prior, **options))
-    except ValueError:
-        return lambda text: F.lit(0.0)
+    found = training_sample(docs, labels, id_col, text_col, label_col, lambda c: c.isNotNull() & ~held_out(c))
+    weights = None if found is None else train(*found, **options)
+    return scorer(weights) if weights is not None else lambda text: F.lit(0.0)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

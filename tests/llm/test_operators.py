@@ -450,3 +450,16 @@ def test_empty_tables(spark):
     assert mixing.mix(empty, mixing.repeating(5, 2, 1)).count() == 0
     assert warc.deduplicate_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert toxicity.score_documents(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
+def test_toxicity_errors_rise(spark, monkeypatch):
+    """Only missing labels give a score of 0; errors of the training don't."""
+    docs = spark.createDataFrame([(i, f"w{i}") for i in range(20)], "doc_id long, text string")
+    none, some = (spark.createDataFrame([(i, int(i < n)) for i in range(20)], "doc_id long, toxic int") for n in (0, 10))
+
+    def broken(*a, **k):
+        raise ValueError("broken")
+    monkeypatch.setattr(toxicity, "train", broken)
+    assert {r.score for r in toxicity.score_documents(docs, none).collect()} == {0.0}
+    with pytest.raises(ValueError, match="broken"):
+        toxicity.score_documents(docs, some)
