@@ -26,7 +26,7 @@ HEX = re.compile(r"[0-9a-f]+")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ORDINARY = re.compile(r"[A-Za-z][A-Za-z0-9_-]{5,}")
 KINDS = ("assign", "access", "hex", "markov")
-MIN_GROUP, MIN_ACCESS, MIN_HEX = 6, 20, 24
+MIN_GROUP, MIN_ACCESS, MIN_HEX, MIN_RUN = 6, 20, 24, 16
 
 #: One code for each character of RUN; others are not in candidates.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -52,6 +52,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
+def outside(start: int, end: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of ``start`` to ``end`` that no base span (sorted by start) covers."""
+    found = []
+    for a, z, _ in base:
+        if a < end and start < z:
+            if start < a:
+                found.append((start, a))
+            start = max(start, z)
+    return [*found, (start, end)] if start < end else found
+
+
 def _transitions(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the steps (previous, next) of all strings, each from the start state, and the string of each step."""
     lengths = np.array([len(s) for s in strings])
@@ -129,9 +140,9 @@ def scan(df: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: st
          threshold: float = math.log(1e6)) -> DataFrame:
     """A row per document: ``id, n_assign, n_access, n_hex, base_sha256, spans``.
 
-    Every run of 16 or more characters with a letter in it is scored; it is a ``markov``
-    span if its log-likelihood ratio is above ``threshold`` (default: a million to one)
-    and it overlaps no base span.  Positions are code points, ends exclusive.  Null and
+    Runs are cut at the base spans; every part of 16 or more characters with a letter in it
+    is scored, and is a ``markov`` span if its log-likelihood ratio is above ``threshold``
+    (default: a million to one).  Positions are code points, ends exclusive.  Null and
     empty texts have no spans; rows with a repeated or null id are scanned like any other.
     """
     def job(batches):
@@ -141,9 +152,10 @@ def scan(df: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: st
             where, strings = [], []
             for i, t in enumerate(texts):
                 for m in RUN.finditer(t):
-                    if not any(a < m.end() and m.start() < z for a, z, _ in base[i]) and not m[0].isdigit():
-                        where.append((i, m.start(), m.end()))
-                        strings.append(m[0])
+                    for a, z in outside(m.start(), m.end(), base[i]):
+                        if z - a >= MIN_RUN and not t[a:z].isdigit():
+                            where.append((i, a, z))
+                            strings.append(t[a:z])
             more = [[] for _ in texts]
             if strings:
                 steps, owner = _transitions(strings)

@@ -463,3 +463,16 @@ def test_toxicity_errors_rise(spark, monkeypatch):
     assert {r.score for r in toxicity.score_documents(docs, none).collect()} == {0.0}
     with pytest.raises(ValueError, match="broken"):
         toxicity.score_documents(docs, some)
+
+
+def test_secrets_beside_base_spans(spark):
+    """A run is cut at the base spans; what is left of it is scored."""
+    rnd = random.Random(5)
+    key = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    access = "AKIA" + "Q7" * 8
+    plain = [(i, f'text token = "{"%040x" % rnd.getrandbits(160)}" and more ordinary words of text') for i in range(30)]
+    known = secret_scan.labelled_samples(table(spark, plain), "doc_id", "text", 1000)
+    rows = [(1, f"{access}/{key}"), (2, f"{key}/{access}"), (3, f"{access}/{key[:9]}"), (4, f"{key}/{access}/{key}")]
+    got = {r.id: r.spans for r in secret_scan.scan(table(spark, rows), secret_scan.train(known)).collect()}
+    assert got == {1: "access:0:20,markov:20:61", 2: "markov:0:41,access:41:61", 3: "access:0:20",
+                   4: "markov:0:41,access:41:61,markov:61:102"}
