@@ -1,11 +1,11 @@
 """WARC archives with revisit resolution.
 
 1. ``write_archives`` writes one gzip archive per task, a response record for each row,
-   and returns the headers as rows ``(uri, offset, length, record_id, page_id, payload_bytes, digest)``.
+   and returns the headers as rows ``(uri, offset, length, record_id, page_id, payload_bytes, digest, target)``.
 2. ``resolve`` shuffles the headers by payload digest: of equal payloads the one with the
    largest page id is the original response, the others revisit it.
-3. ``rewrite`` copies each archive, task by task, with fresh headers: originals keep
-   their payload, revisits lose it and name the original.
+3. ``rewrite`` copies each archive, task by task, with fresh headers (record id and date):
+   originals keep their block, revisits lose the payload and name the original's new record.
 4. ``read_archives`` parses the records back and checks each payload against its digest.
 
 Only headers shuffle; payloads go from archive to archive within one task.  An archive
@@ -20,6 +20,7 @@ import hashlib
 import io
 import uuid
 import zlib
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -90,7 +91,7 @@ def _page_headers(record_id, page_id, uri, date, digest, size):
             "X-Payload-Length": size, "X-Page-Id": page_id, "Content-Type": "application/http;msgtype=response"}
 
 
-HEADERS = "uri string, offset long, length long, record_id string, page_id long, payload_bytes long, digest string"
+HEADERS = "uri string, offset long, length long, record_id string, page_id long, payload_bytes long, digest string, target string"
 
 
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
@@ -105,13 +106,14 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 payload = (text or "").encode()
                 digest = payload_digest(payload)
                 record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive.uri}#{archive.at}')}>"
-                head = _page_headers(record_id, page_id, None if url is None else _clean(url), date, digest, len(payload))
+                target = None if url is None else _clean(url)
+                head = _page_headers(record_id, page_id, target, date, digest, len(payload))
                 at = archive.add(_record("response", head, HTTP % len(payload) + payload))
-                rows.append((archive.uri, at, archive.at - at, record_id, page_id, len(payload), digest))
+                rows.append((archive.uri, at, archive.at - at, record_id, page_id, len(payload), digest, target))
             if rows:
                 cols = list(zip(*rows))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                names = ("uri", "offset", "length", "record_id", "page_id", "payload_bytes", "digest")
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                names = ("uri", "offset", "length", "record_id", "page_id", "payload_bytes", "digest", "target")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=list(names))
         if archive:
             archive.close()
@@ -121,26 +123,34 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
 
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``headers`` with ``original`` (its record id, null for a response) and ``refers_to`` (its page id).
+    """``headers`` with ``original`` (its record id, null for a response), ``refers_to`` (its page id) and ``target`` (its URI).
 
     Payloads below ``min_bytes`` are responses without a search.  Where the largest page
     id is repeated, the record with the largest archive and offset is the original.
     """
-    best = F.max(F.struct("page_id", "uri", "offset", "record_id")).alias("best")
+    best = F.max(F.struct("page_id", "uri", "offset", "record_id", "target")).alias("best")
     groups = cut_lineage(headers.filter(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes")
                          .agg(best, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     joined = headers.join(groups, ["digest", "payload_bytes"], "left")
     other = F.col("best").isNotNull() & (F.col("best.record_id") != F.col("record_id"))
     return joined.select("uri", "offset", "length", F.when(other, F.col("best.record_id")).alias("original"),
-                         F.when(other, F.col("best.page_id")).alias("refers_to"))
+                         F.when(other, F.col("best.page_id")).alias("refers_to"),
+                         F.when(other, F.col("best.target")).alias("target"))
 
 
-def rewrite(decided: DataFrame) -> DataFrame:
-    """Copy the archives with fresh headers; ``(uri)`` of the new ones."""
+def _new_id(record_id: str) -> str:
+    """The id in the new archives of a record of the old ones."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id}#pages')}>"
+
+
+def rewrite(decided: DataFrame, date: str | None = None) -> DataFrame:
+    """Copy the archives with fresh headers, all records dated ``date`` (default: now); ``(uri)`` of the new ones."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
     def copy(batches):
         archive, raw, last = None, None, None
         for b in batches:
-            for uri, offset, length, original, refers_to in zip(*(c.to_pylist() for c in b.columns)):
+            for uri, offset, length, original, refers_to, target in zip(*(c.to_pylist() for c in b.columns)):
                 if uri != last:
                     if archive:
                         archive.close()
@@ -148,21 +158,22 @@ def rewrite(decided: DataFrame) -> DataFrame:
                     fs, path = pafs.FileSystem.from_uri(uri)
                     raw, last = fs.open_input_file(path), uri
                     archive = _Archive(uri.replace("/raw-", "/pages-"))
-                data = raw.read_at(length, offset)
+                old = _parse(io.BytesIO(gzip.decompress(raw.read_at(length, offset))))
+                kind, block = "response", old["block"]
+                head = {k: v for k, v in old.items() if k not in ("block", "WARC-Type", "Content-Length")}
+                head |= {"WARC-Record-ID": _new_id(old["WARC-Record-ID"]), "WARC-Date": date}
                 if original is not None:
-                    old = _parse(io.BytesIO(gzip.decompress(data)))
-                    head = {k: v for k, v in old.items() if k not in ("block", "WARC-Type", "Content-Length")}
-                    http = old["block"][:old["block"].index(b"\r\n\r\n") + 4]
-                    head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": original, "X-Refers-To-Page-Id": refers_to}
-                    data = _record("revisit", head, http)
-                archive.add(data)
+                    kind, block = "revisit", block[:block.index(b"\r\n\r\n") + 4]
+                    head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": _new_id(original), "WARC-Refers-To-Target-URI": target,
+                             "WARC-Refers-To-Date": date, "X-Refers-To-Page-Id": refers_to}
+                archive.add(_record(kind, head, block))
         if archive:
             archive.close()
             yield pa.RecordBatch.from_pydict({"uri": [archive.uri]})
 
     n = partitions(decided.sparkSession)
     rows = decided.repartition(n, "uri").sortWithinPartitions("uri", "offset")
-    return rows.select("uri", "offset", "length", "original", "refers_to").mapInArrow(copy, "uri string")
+    return rows.select("uri", "offset", "length", "original", "refers_to", "target").mapInArrow(copy, "uri string")
 
 
 PAGES = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "

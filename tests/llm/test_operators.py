@@ -476,3 +476,31 @@ def test_secrets_beside_base_spans(spark):
     got = {r.id: r.spans for r in secret_scan.scan(table(spark, rows), secret_scan.train(known)).collect()}
     assert got == {1: "access:0:20,markov:20:61", 2: "markov:0:41,access:41:61", 3: "access:0:20",
                    4: "markov:0:41,access:41:61,markov:61:102"}
+
+
+def test_warc_headers_are_fresh(spark, tmp_path):
+    import gzip
+
+    rows = [(i, f"<p>{i % 3}</p>") for i in range(12)] + [(40, None), (None, "lone")]
+    df = table(spark, rows, "html").withColumnRenamed("doc_id", "page_id").withColumn("url", F.concat(F.lit("http://x/"), F.col("page_id").cast("string")))
+    warc.deduplicate_pages(df, folder=str(tmp_path)).count()
+    found = {}
+    for kind in ("raw", "pages"):
+        found[kind] = []
+        for path in sorted(tmp_path.glob(f"{kind}-*.gz")):
+            with gzip.open(path) as stream:
+                while r := warc._parse(stream):
+                    found[kind].append(r)
+    old, new = ([r["WARC-Record-ID"] for r in found[k]] for k in ("raw", "pages"))
+    assert len(set(old + new)) == 2 * len(rows)
+    assert {r["WARC-Date"] for r in found["pages"]}.isdisjoint(r["WARC-Date"] for r in found["raw"])
+    by_id = {r["WARC-Record-ID"]: r for r in found["pages"]}
+    for a, b in zip(found["raw"], found["pages"]):
+        assert a.get("X-Page-Id") == b.get("X-Page-Id") and a.get("WARC-Target-URI") == b.get("WARC-Target-URI")
+        if b["WARC-Type"] == "response":
+            assert a["block"] == b["block"] and "WARC-Refers-To" not in b
+        else:
+            first = by_id[b["WARC-Refers-To"]]
+            assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == b["WARC-Payload-Digest"]
+            assert (b["WARC-Refers-To-Target-URI"], b["WARC-Refers-To-Date"]) == (first["WARC-Target-URI"], first["WARC-Date"])
+    assert sum(r["WARC-Type"] == "revisit" for r in found["pages"]) == 9
