@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from ..plans.util import cut_lineage
 from .common import new_folder, partitions, picked, task_number
+from .pieces import Numbers, batches_of, numbered, spans, split_before
 
 MAGIC = b"CMTOKEN1"
 HEADER = "<8sII"
@@ -130,6 +131,40 @@ class Reader:
         return found[start - first * self.per_block:][:count]
 
 
+def encode_pieces(tokenizer, pieces: list[str], line_end: int | None, special: list[str], together: int = 2000) -> list[np.ndarray]:
+    """Ids of each piece, plain ones together in one text with a line end (id ``line_end``) between them."""
+    plain = [line_end is not None and PLAIN.fullmatch(u) is not None for u in pieces]
+    for s in special:
+        for i in np.flatnonzero(np.asarray(pc.match_substring(pa.array(pieces, pa.string()), s))).tolist():
+            plain[i] = False
+    joint = [i for i, p in enumerate(plain) if p]
+    ids = [None] * len(pieces)
+    for g in (joint[i:i + together] for i in range(0, len(joint), together)):
+        e, = tokenizer.encode_batch_fast(["\n".join([pieces[i] for i in g])], add_special_tokens=False)
+        got = np.array(e.ids, np.uint32)
+        ends = np.append(np.flatnonzero(got == line_end), len(got)).tolist()
+        if len(ends) != len(g):
+            raise ValueError("the tokenizer doesn't keep line ends apart")
+        a = 0
+        for i, z in zip(g, ends):
+            ids[i] = got[a:z]
+            a = z + 1
+    other = [i for i, p in enumerate(plain) if not p]
+    for i, e in zip(other, tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)):
+        ids[i] = np.array(e.ids, np.uint32)
+    return ids
+
+
+def line_end_id(tokenizer) -> int | None:
+    """The id of a line end, if the tokenizer gives it one of its own between letters."""
+    between, alone = (tokenizer.encode(t, add_special_tokens=False).ids for t in ("a\nb", "\n"))
+    return between[1] if len(between) == 3 and alone == between[1:2] else None
+
+
+#: Where texts are cut: first as finely as is safe, then between words and lines only.
+CUTS = ({" ": "\0 ", "\n": "\0\n\0", ",": "\0,", ".": "\0."}, {" ": "\0 ", "\n": "\0\n\0"})
+
+
 class UnitEncoder:
     """Encodes texts with a byte-level BPE tokenizer, piece by piece, each different piece once.
 
@@ -137,101 +172,79 @@ class UnitEncoder:
     something else, after a lone line end, and at a comma or full stop that follows a
     letter or digit.  A text in which each space and line end follows a letter, digit or
     ASCII sign is therefore cut there, and the ids of the pieces, joined, are the ids of
-    the text.  Any other text is encoded whole.  Pieces are kept up to ``limit`` and then
-    forgotten.
+    the text.  Any other text is encoded whole.  Arrow cuts the texts and numbers the
+    pieces, which are kept up to ``limit`` and then forgotten.
     """
 
-    def __init__(self, path: str, limit: int = KEEP_PIECES, together: int = 2000):
+    def __init__(self, path: str, limit: int = KEEP_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        line_end = self._ids("a\nb")
-        self.line_end = line_end[1] if len(line_end) == 3 and self._ids("\n") == line_end[1:2] else None
-        self.limit, self.together = limit, together
-        self._forget()
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _forget(self):
-        self.known = _Places()
-        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-
-    def _cut(self, text: str) -> np.ndarray:
-        """The places of the pieces of a text: the finest cut that is safe."""
-        if "\0" in text:
-            return self._places([text])
-        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-        for pieces in (cut.replace(",", "\0,").replace(".", "\0.").split("\0"), cut.split("\0"), [text]):
-            at = self._places(pieces)
-            kind = np.frombuffer(self.known.kinds, np.uint8)[at]
-            if len(at) == 1 or not (((kind[:-1] & ENDS_SAFE) == 0) | ((kind[1:] & IS_SIGN) > 0) & ((kind[:-1] & ENDS_WORD) == 0)).any():
-                return at
-
-    def _learn(self):
-        """Encode the new pieces, plain ones together in one text with a line end between them."""
-        new = self.known.new
-        if not new:
+        self.line_end = line_end_id(self.tokenizer)
+        self.numbers = Numbers(self._learn, limit)
+        self._learn(None)
+
+    def _learn(self, new):
+        if new is None:
+            self.flat, self.kind = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+            self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
-        plain = [self.line_end is not None and PLAIN.fullmatch(u) is not None and not any(s in u for s in self.special) for u in new]
-        joint = [i for i, p in enumerate(plain) if p]
-        ids = [None] * len(new)
-        for g in (joint[i:i + self.together] for i in range(0, len(joint), self.together)):
-            e, = self.tokenizer.encode_batch_fast(["\n".join([new[i] for i in g])], add_special_tokens=False)
-            got = np.array(e.ids, np.uint32)
-            ends = np.append(np.flatnonzero(got == self.line_end), len(got)).tolist()
-            if len(ends) != len(g):
-                raise ValueError("the tokenizer doesn't keep line ends apart")
-            a = 0
-            for i, z in zip(g, ends):
-                ids[i] = got[a:z]
-                a = z + 1
-        other = [i for i, p in enumerate(plain) if not p]
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([new[i] for i in other], add_special_tokens=False)):
-            ids[i] = np.array(e.ids, np.uint32)
+        ids = encode_pieces(self.tokenizer, new, self.line_end, self.special)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.flat = np.concatenate([self.flat, *ids])
-        self.length = np.concatenate([self.length, np.fromiter(map(len, ids), np.int64, len(ids))])
-        self.known.new = []
-
-    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        self.size = np.concatenate([self.size, size])
+        self.kind = np.concatenate([self.kind, np.array([_KINDS[u[-1:]] | IS_SIGN * (u[:1] in (",", ".")) for u in new], np.uint8)])
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(numbers of all pieces, pieces of each text)``: the finest cut that is safe."""
+        n = len(texts)
+        found, begin, count = [], np.zeros(n, np.int64), np.zeros(n, np.int64)
+        nul = np.asarray(pc.match_substring(texts, "\0"))
+        todo, held = np.flatnonzero(~nul), 0
+        for marks in CUTS:
+            names, codes, counts = numbered(split_before(texts.take(pa.array(todo)), marks))
+            at = self.numbers(names)[codes]
+            kind = self.kind[at]
+            bad = ((kind[:-1] & ENDS_SAFE) == 0) | ((kind[1:] & IS_SIGN) > 0) & ((kind[:-1] & ENDS_WORD) == 0)
+            ends = np.cumsum(counts)
+            bad[ends[:-1] - 1] = False  # between two texts
+            faults = np.concatenate([[0], np.cumsum(bad), [0]])
+            good = faults[ends - 1] == faults[ends - counts]
+            found.append(at)
+            begin[todo[good]], count[todo[good]] = held + (ends - counts)[good], counts[good]
+            held += len(at)
+            todo = todo[~good]
+        rest = np.concatenate([np.flatnonzero(nul), todo])
+        whole = texts.take(pa.array(rest)).dictionary_encode()
+        found.append(self.numbers(whole.dictionary.to_pylist())[np.asarray(whole.indices)])
+        begin[rest], count[rest] = held + np.arange(len(rest)), 1
+        return np.concatenate(found)[spans(begin, count)], count
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with ``end_id`` after each text, and the count for each text."""
-        if len(self.known) > self.limit:
-            self._forget()
-        places = []
-        for text in texts:
-            places.append(self._cut(text))
-        self._learn()
-        begin = np.cumsum(self.length) - self.length
-        out, sizes = [], []
-        for at in places:
-            n = self.length[at]
-            total = int(n.sum())
-            ids = np.empty(total + 1, np.uint32)
-            ids[:-1] = self.flat[np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(total)]
-            ids[-1] = end_id
-            out.append(ids)
-            sizes.append(total + 1)
-        return np.concatenate([*out, np.zeros(0, np.uint32)]), np.array(sizes, np.int64)
-
-
-class _Places(dict):
-    """Piece -> its place; a new piece gets the next place and is noted in ``new``, and in ``kinds`` what it may stand next to."""
-
-    def __init__(self):
-        super().__init__()
-        self.new, self.kinds = [], bytearray()
-
-    def __missing__(self, piece):
-        n = self[piece] = len(self)
-        self.new.append(piece)
-        last = piece[-1:]
+        self.numbers.trim()
+        at, count = self._cut(texts)
+        size = self.size[at]
+        total = np.add.reduceat(size, np.cumsum(count) - count) + 1 if len(count) else np.zeros(0, np.int64)
+        out = np.full(int(total.sum()), end_id, np.uint32)
+        body = np.ones(len(out), bool)
+        body[np.cumsum(total) - 1] = False
+        out[body] = self.flat[spans(self.first[at], size)]
+        return out, total
+
+
+class _Kinds(dict):
+    """Last character of a piece -> what may follow it."""
+
+    def __missing__(self, last):
         word = last.isalnum()
-        self.kinds.append(ENDS_WORD * word | ENDS_SAFE * (word or "!" <= last <= "~" or piece == "\n") | IS_SIGN * (piece[:1] in (",", ".")))
-        return n
+        kind = self[last] = ENDS_WORD * word | ENDS_SAFE * (word or "!" <= last <= "~" or last == "\n")
+        return kind
+
+
+_KINDS = _Kinds()
 
 
 _ENCODERS: dict = {}
@@ -241,7 +254,7 @@ def _encoder(path: str, limit: int) -> UnitEncoder:
     """One encoder for each Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = UnitEncoder(path)
-    _ENCODERS[path].limit = limit
+    _ENCODERS[path].numbers.limit = limit
     return _ENCODERS[path]
 
 
@@ -264,16 +277,9 @@ def write_tokens(df: DataFrame, tokenizer_path: str, out_uri: str, end_id: int,
         uri = f"{out_uri}/shard-{shard:06d}.tok"
         writer = None
         for b in batches:
-            ids, texts, i = b.column(0).to_pylist(), b.column(1), 0
-            size = np.asarray(pc.binary_length(texts))
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars + size[j] <= batch_chars):
-                    chars += size[j]
-                    j += 1
+            for part in batches_of(b, "text", batch_chars):
                 writer = writer or Writer(uri, bits)
-                writer.add(ids[i:j], *_encoder(tokenizer_path, keep_pieces).encode(texts[i:j].to_pylist(), end_id))
-                i = j
+                writer.add(part.column("id").to_pylist(), *_encoder(tokenizer_path, keep_pieces).encode(part.column("text"), end_id))
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "uri": [uri],
