@@ -81,12 +81,12 @@ class Numbers:
     """Piece -> its number; ``learn`` is told the new ones in order."""
 
     def __init__(self, learn, limit: int):
-        self.learn, self.limit, self.known = learn, limit, {}
+        self.learn, self.limit, self.known, self.chars = learn, limit, {}, 0
 
     def trim(self):
-        """Forget all if there are more than ``limit``; ``learn(None)`` says so."""
-        if len(self.known) > self.limit:
-            self.known = {}
+        """Forget all if there are more than ``limit``, or of more than 32 characters on average; ``learn(None)`` says so."""
+        if len(self.known) > self.limit or self.chars > 32 * self.limit:
+            self.known, self.chars = {}, 0
             self.learn(None)
 
     def __call__(self, names: list[str]) -> np.ndarray:
@@ -98,5 +98,6 @@ class Numbers:
             at[new] = np.arange(before, before + len(new))
             fresh = [names[i] for i in new.tolist()]
             self.known.update(zip(fresh, range(before, before + len(fresh))))
+            self.chars += sum(map(len, fresh))
             self.learn(fresh)
         return at
