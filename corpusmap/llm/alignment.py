@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 
 from ..plans.util import cut_lineage
 from .common import new_folder, partitions, picked, table
-from .pieces import SAFE_CUT, Numbers, batches_of, cut, spans
+from .pieces import SAFE_CUT, Numbers, batches_of, cut, distinct, spans
 from .sentencepieces import BYTE, SPACE, Encoder, Model
 from .tokens import bits_for, encode_pieces, line_end_id
 
-KEEP_PIECES = 300_000
+KEEP_PIECES = 500_000
 FAN = 16                # fragments joined to one in a step
 FILE_PAIRS = 2_000_000  # id pairs in one file of counts
 BATCH_KEYS = 4_000_000  # id pairs of documents looked up together
@@ -91,21 +92,19 @@ class Tables:
     def _learn(self, new):
         if new is None:
             self.ok, self.groups = np.zeros(0, bool), []
-            self.flat = {k: np.zeros(0, np.int64) for k in "abk"}   # ids of A, ids of B, keys of links
-            self.size = {k: np.zeros(0, np.int64) for k in "abkg"}  # and how many each piece has; g: groups
+            self.flat = {k: np.zeros(0, np.uint32 if k in "ab" else self.key_type) for k in "abk"}  # ids of A, ids of B, keys of links
+            self.size = {k: np.zeros(0, np.int32) for k in "abkg"}  # and how many each piece has; g: groups
             self.first = {k: np.zeros(0, np.int64) for k in "abk"}
             return
-        a = [x.tolist() for x in encode_pieces(self.a, new, self.line_end, [])]
+        a = encode_pieces(self.a, new, self.line_end, [])
         b = [self.b.encode(p.replace(" ", SPACE)) for p in new]
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
-        ok = np.zeros(len(new), bool)
-        for i, p in enumerate(new):
-            raw = p.encode()
-            ok[i] = b"".join([a_bytes[x] for x in a[i]]) == raw == b"".join([b_bytes[x] for x in b[i]])
-            if not ok[i]:
-                a[i], b[i] = [], []
         size = {"a": np.array([len(x) for x in a], np.int64), "b": np.array([len(x) for x in b], np.int64)}
-        flat = {"a": np.array([x for y in a for x in y], np.int64), "b": np.array([x for y in b for x in y], np.int64)}
+        flat = {"a": np.concatenate(a).astype(np.int64), "b": np.fromiter(chain.from_iterable(b), np.int64, int(size["b"].sum()))}
+        ok = self._same_bytes(new, flat, size)
+        if not ok.all():
+            for k in "ab":
+                flat[k] = flat[k][np.repeat(ok, size[k])]
+                size[k] = np.where(ok, size[k], 0)
         a_ends, b_ends = np.cumsum(self.a_len[flat["a"]]), np.cumsum(self.b_len[flat["b"]])
         owner_a, owner_b = np.repeat(np.arange(len(new)), size["a"]), np.repeat(np.arange(len(new)), size["b"])
         ca, cb = cuts_of(a_ends, b_ends)
@@ -121,11 +120,25 @@ class Tables:
             at += n
         for k in "abk":
             self.first[k] = np.concatenate([self.first[k], len(self.flat[k]) + np.cumsum(size[k]) - size[k]])
-            self.flat[k] = np.concatenate([self.flat[k], flat[k]])
+            self.flat[k] = np.concatenate([self.flat[k], flat[k].astype(self.flat[k].dtype)])
         for k in "abkg":
-            self.size[k] = np.concatenate([self.size[k], size[k]])
+            self.size[k] = np.concatenate([self.size[k], size[k].astype(np.int32)])
         self.ok = np.concatenate([self.ok, ok])
 
+    def _same_bytes(self, new, flat, size) -> np.ndarray:
+        """Which pieces are exactly the bytes of their tokens, on both sides."""
+        raw = pa.array(new, pa.string())
+        length = np.asarray(pc.binary_length(raw))
+        ok = np.ones(len(new), bool)
+        for k, known, lens in (("a", self.a_bytes, self.a_len), ("b", self.b_bytes, self.b_len)):
+            ends = np.concatenate([[0], np.cumsum(size[k])])
+            total = np.concatenate([[0], np.cumsum(lens[flat[k]])])[ends]
+            ok &= np.diff(total) == length
+            if not ok.all() or b"".join([known[i] for i in flat[k].tolist()]) != "".join(new).encode():
+                ids = flat[k].tolist()
+                ok &= np.array([b"".join([known[i] for i in ids[x:y]]) == p.encode() for p, x, y in zip(new, ends[:-1].tolist(), ends[1:].tolist())], bool)
+        return ok
+
     def links(self, a_ids, a_ends, b_ids, b_ends) -> tuple[np.ndarray, np.ndarray]:
         """Keys (A id, B id) of all links: one for the stretch before each end of A, then for the other ends of B, whose places follow."""
         if not len(a_ids) or not len(b_ids):
@@ -174,21 +187,7 @@ class Tables:
         self.numbers.trim()
         names, codes, _ = cut(pa.array([text]))
         at = self.numbers(names)[codes]
-        return bool(self.ok[at].all()), *(self.flat[k][spans(self.first[k][at], self.size[k][at])] for k in "ab")
-
-
-def distinct(owner: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(keys, times, edges)``: each owner's different keys, ascending, and how often they occur."""
-    if not len(key):
-        return key, np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
-    bits = max(1, int(key.max()).bit_length())
-    both = owner.astype(np.uint64) << np.uint64(bits) | key.astype(np.uint64)
-    both.sort()
-    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-    times = np.diff(np.append(first, len(both)))
-    both = both[first]
-    edges = np.searchsorted(both >> np.uint64(bits), np.arange(n + 1, dtype=np.uint64))
-    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), times, edges
+        return bool(self.ok[at].all()), *(self.flat[k][spans(self.first[k][at], self.size[k][at])].astype(np.int64) for k in "ab")
 
 
 _TABLES: dict = {}

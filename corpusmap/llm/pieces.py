@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Characters after which a space begins no new piece: white space by any definition, U+2581 and NUL.
 NO_CUT_AFTER = r"\0\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2581"
 SAFE_CUT = re.compile(f"(?<=[^{NO_CUT_AFTER}])(?= )")
-_ENDS_OPEN = re.compile(f"[{NO_CUT_AFTER}]")
+_OPEN = {"", *re.findall(f"[{NO_CUT_AFTER}]", "".join(map(chr, range(0x3100))))}
 
 
 def split_before(texts: pa.Array, marks: dict[str, str]) -> pa.ListArray:
@@ -41,6 +41,20 @@ def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(first, np.int64) - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def distinct(owner: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(keys, times, edges)``: each owner's different keys, ascending, and how often they occur."""
+    if not len(key):
+        return key, np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    bits = max(1, int(key.max()).bit_length())
+    both = owner.astype(np.uint64) << np.uint64(bits) | key.astype(np.uint64)
+    both.sort()
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    times = np.diff(np.append(first, len(both)))
+    both = both[first]
+    edges = np.searchsorted(both >> np.uint64(bits), np.arange(n + 1, dtype=np.uint64))
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), times, edges
+
+
 def cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """``(different pieces, the number of each piece, pieces of each text)``."""
     nul = pc.match_substring(texts, "\0")
@@ -48,8 +62,8 @@ def cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     if not len(counts):
         return names, codes, counts
     begin = np.cumsum(counts) - counts
-    open_end = np.fromiter((not s or _ENDS_OPEN.match(s[-1]) is not None for s in names), bool, len(names))
-    empty = np.fromiter((not s for s in names), bool, len(names))
+    open_end = np.array([s[-1:] in _OPEN for s in names], bool)
+    empty = np.array([not s for s in names], bool)
     unsafe = open_end[codes]
     unsafe[begin + counts - 1] = False       # the end of a text is no cut,
     unsafe[begin[empty[codes[begin]]]] = False  # nor is its beginning

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, decontam, exact, mixing, oracles, secret_scan, sentencepieces, simhash, substring, suffix, tokens, toxicity, warc
+from . import alignment, decontam, exact, mixing, oracles, ranked, secret_scan, sentencepieces, simhash, substring, suffix, tokens, toxicity, warc
 
-MODULES = (tokens, simhash, exact, suffix, secret_scan, decontam, mixing, warc, substring, toxicity, sentencepieces, alignment)
+MODULES = (tokens, simhash, exact, suffix, secret_scan, decontam, mixing, warc, substring, toxicity, ranked, sentencepieces, alignment)
 QUERIES = {name: fn for m in MODULES for name, fn in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()} | oracles.SQL

@@ -12,6 +12,7 @@ a piece become the pieces of their bytes.  Decoding joins the pieces' bytes.
 from __future__ import annotations
 
 import codecs
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -138,13 +139,10 @@ class Encoder:
         return parts
 
     def fits(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        found = self.fit.get(key)
-        if found is None:
-            if len(self.fit) > KEEP_PAIRS:
-                self.fit = {}
-            a, b = self.text[left], self.text[right]
-            found = self.fit[key] = self.merged(a + b) == [a, b]
+        if len(self.fit) > KEEP_PAIRS:
+            self.fit.clear()
+        a, b = self.text[left], self.text[right]
+        found = self.fit[left << 32 | right] = self.merged(a + b) == [a, b]
         return found
 
     def tokens(self, s: str) -> list[int]:
@@ -165,7 +163,7 @@ class Encoder:
         failed = bytearray((n >> 3) + 1)
         out, at, last, t = [], 0, -1, longest[0] if n else -1
         while at < n:
-            end = at + length[t] if t >= 0 else -1
+            end = at + length[t]
             if t < 0:  # nothing fits here: step back, and take something shorter before
                 if not out:
                     raise ValueError("the vocabulary has no way to write this text")
@@ -174,12 +172,18 @@ class Encoder:
                 at -= length[t]
                 last = out[-1] if out else -1
                 t = shorter[t]
-            elif not failed[end >> 3] >> (end & 7) & 1 and (last < 0 or (fit.get(last << 32 | t) or fits(last, t))):
-                out.append(t)
-                last, at = t, end
-                t = longest[at] if at < n else -1
             else:
-                t = shorter[t]
+                good = not failed[end >> 3] >> (end & 7) & 1
+                if good and last >= 0:
+                    good = fit.get(last << 32 | t)
+                    if good is None:
+                        good = fits(last, t)
+                if good:
+                    out.append(t)
+                    last, at = t, end
+                    t = longest[at] if at < n else -1
+                else:
+                    t = shorter[t]
         return out
 
     def encode(self, s: str) -> list[int]:
@@ -203,9 +207,9 @@ class TextEncoder:
             self.flat, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
             return
         ids = [self.encoder.encode(p.replace(" ", SPACE)) for p in new]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.array([len(x) for x in ids], np.int64)
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
         self.size = np.concatenate([self.size, size])
 
     def spaced(self, texts: pa.Array) -> pa.Array:
