@@ -50,6 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def track(spark: SparkSession, path: str) -> str:
+    """Have :func:`temporary_tables` treat a folder that was written by other means like a table of :func:`cut_lineage`."""
+    if _BLOCKS:
+        _BLOCKS[-1].paths[path] = spark
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,6 +65,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def drop_unread(tables: dict, df: DataFrame) -> dict:
+    """Drop the ``tables`` that ``df`` doesn't read; gives back the others."""
+    read = df.inputFiles() if tables else []
+    names = {path: path.rstrip("/").rsplit("/", 1)[-1] for path in tables}  # unique folder names
+    used = {path for path, name in names.items() if any(f"/{name}/" in f for f in read)}
+    for path, spark in tables.items():
+        if path not in used:
+            _delete(spark, path)
+    return {path: tables[path] for path in used}
+
+
 def drop_table_files(df: DataFrame) -> None:
     """Delete the table behind a frame returned by :func:`cut_lineage` (other frames: no-op)."""
     path = getattr(df, "_corpusmap_table", None)
@@ -77,6 +95,11 @@ class _Block:
         self.kept.add(getattr(df, "_corpusmap_table", None))
         return df
 
+    def keep_all(self) -> dict:
+        """Leave all tables in place at the end of the block; gives them back as ``{path: session}``."""
+        self.kept |= set(self.paths)
+        return dict(self.paths)
+
     def drop_but(self, *frames: DataFrame) -> None:
         """Drop all tables made so far but those behind ``frames``."""
         stay = {getattr(f, "_corpusmap_table", None) for f in frames}
