@@ -18,27 +18,24 @@ either side) is exactly one link: an A-B pair of occurrences whose bytes overlap
 from __future__ import annotations
 
 import hashlib
-import math
 from bisect import bisect_right
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.util import cut_lineage
-from .common import new_folder, partitions, picked, table
+from .common import partitions, picked, table
+from .lookup import opened, write_sorted
 from .pieces import SAFE_CUT, Numbers, batches_of, cut, distinct, spans
 from .sentencepieces import BYTE, SPACE, Encoder, Model
 from .tokens import bits_for, encode_pieces, line_end_id
 
 KEEP_PIECES = 500_000
 FAN = 16                # fragments joined to one in a step
-FILE_PAIRS = 2_000_000  # id pairs in one file of counts
 BATCH_KEYS = 4_000_000  # id pairs of documents looked up together
 
 
@@ -454,69 +451,24 @@ def pair_counts(aligned: DataFrame, a_path: str, b_path: str, keep: int = 4_000_
     return aligned.select("keys").mapInArrow(job, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-class _Files:
-    """Counts of id pairs in sorted files of the shared folder; a few are kept in memory."""
-
-    def __init__(self, uri: str):
-        self.fs, path = pafs.FileSystem.from_uri(uri)
-        names = sorted(f.path for f in self.fs.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".parquet"))
-        self.kept = {}
-        self.files = []
-        for n in names:
-            with self.fs.open_input_file(n) as f:
-                if rows := pq.ParquetFile(f).metadata.num_rows:
-                    key = pq.ParquetFile(f).read(["key"])["key"]
-                    self.files.append((key[0].as_py(), key[rows - 1].as_py(), n))
-
-    def _load(self, name):
-        if name not in self.kept:
-            if len(self.kept) >= 3:
-                self.kept.pop(next(iter(self.kept)))
-            with self.fs.open_input_file(name) as f:
-                t = pq.read_table(f)
-            self.kept[name] = [np.asarray(t[c]) for c in ("key", "n", "best")]
-        return self.kept[name]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(n, best)`` of each key."""
-        n, best = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        by = np.argsort(keys)
-        ordered = keys[by]
-        for lo, hi, name in self.files:
-            i, j = np.searchsorted(ordered, lo), np.searchsorted(ordered, hi, "right")
-            if j > i:
-                k, count, top = self._load(name)
-                at = np.searchsorted(k, ordered[i:j])
-                n[by[i:j]], best[by[i:j]] = count[at], top[at]
-        return n, best
-
-
-_FILES: dict = {}
-
-
 def scored(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """:func:`align` rows with ``n_best`` and ``count_sum``: links whose id pair is linked in the most documents of all
     pairs of their A id, and the sum of the links' document counts.
 
-    The counts go to sorted files of at most ``FILE_PAIRS`` pairs in the checkpoint folder;
+    The counts go to sorted files of bounded size in the checkpoint folder;
     tasks read them one after the other for a bounded number of documents at a time, so
     nothing that grows with the corpus is broadcast.
     """
-    spark = aligned.sparkSession
     shift = bits_for(len(Model(b_path).pieces))
     counts = cut_lineage(pair_counts(aligned, a_path, b_path))
-    total = counts.count()
     counts = counts.withColumn("a", F.shiftright("key", shift))
     top = counts.groupBy("a").agg(F.max("n").alias("top"))  # at most one row for each id of A's vocabulary
     ranked = counts.join(F.broadcast(top), "a").select("key", "n", (F.col("n") == F.col("top")).cast("long").alias("best"))
-    uri = new_folder(spark, "pairs") + "/counts"
-    ranked.repartitionByRange(max(1, math.ceil(total / FILE_PAIRS)), "key").sortWithinPartitions("key").write.parquet(uri)
+    uri = write_sorted(ranked, "key", "pairs")
 
     def job(batches):
         t = _tables(a_path, b_path)
-        if uri not in _FILES:
-            _FILES.clear()
-            _FILES[uri] = _Files(uri)
+        table = opened(uri, "key", ("n", "best"))
         for b in batches:
             size = np.asarray(pc.binary_length(b.column("keys"))).astype(np.int64) // t.key_type.itemsize
             ends, i = np.cumsum(size), 0
@@ -525,7 +477,7 @@ def scored(aligned: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 part = b.slice(i, j - i)
                 keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), t.key_type).astype(np.int64)
                 times = np.frombuffer(b"".join(part.column("times").to_pylist()), "<u4").astype(np.int64)
-                n, best = _FILES[uri].find(keys)
+                _, (n, best) = table.find(keys)
                 edges = np.concatenate([[0], np.cumsum(size[i:j])])
                 sums = [np.diff(np.concatenate([[0], np.cumsum(times * x)])[edges]) for x in (best, n)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "n_a", "n_b", "n_groups", "n_links")), *map(pa.array, sums),

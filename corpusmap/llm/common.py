@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.util import track
 from ..session import ensure_checkpoint_dir
 
 #: The words of the contracts: maximal runs of anything but ASCII white space.
@@ -56,7 +57,7 @@ def new_folder(spark: SparkSession, kind: str, folder: str | None = None) -> str
     uri = uri if "://" in uri else f"file://{uri}"
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path)
-    return uri
+    return uri if folder else track(spark, uri)
 
 
 def small(batches, rows: int = 1000):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.util import cut_lineage, drop_table_files
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``: ``root`` is the smallest node reachable.
 
     Each round takes the least root among a node and its neighbours, then the root's own
@@ -17,7 +17,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(max_rounds):
+    while True:  # each round lowers a root, so it ends
         near = both.join(state, both.b == state.node).groupBy("a").agg(F.min("root").alias("near"))
         lower = cut_lineage(state.join(near, state.node == near.a).select("node", F.least("root", "near").alias("root"),
                                                                           F.col("root").alias("was")))
@@ -30,4 +30,3 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not changed:
             drop_table_files(both)
             return state.select("node", "root")
-    raise RuntimeError(f"components not found in {max_rounds} rounds")

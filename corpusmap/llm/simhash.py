@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.util import cut_lineage
+from ..plans.util import cut_lineage, temporary_tables
 from .common import partitions, picked, small
 from .components import connected_components
+from .lookup import opened, write_sorted
 
 BITS = 64
 
@@ -201,12 +202,14 @@ def simhash_components(prints: DataFrame, max_bits: int = 3) -> DataFrame:
 
     A component without any id has null.
     """
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    found = connected_components(cut_lineage(links(nodes.select("fp"), max_bits)))
-    rooted = cut_lineage(nodes.join(found, nodes.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")))
-    ids = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    return cut_lineage(rooted.join(ids, "root").select("fp", "component_id"))
+    with temporary_tables() as made:
+        # spread anew: a small table would be read by a few tasks, which would make all variants
+        nodes = cut_lineage(prints.groupBy("fp").agg(F.min("id").alias("least")).repartition(partitions(prints.sparkSession), "fp"))
+        found = connected_components(cut_lineage(links(nodes.select("fp"), max_bits)))
+        rooted = cut_lineage(nodes.join(found, nodes.fp == found.node, "left").select(
+            "fp", "least", F.coalesce("root", "fp").alias("root")))
+        ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        return made.keep(cut_lineage(rooted.join(ids, "root").select("fp", "component_id")))
 
 
 def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
@@ -230,7 +233,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     named = nodes.join(found, "fp").withColumn("also", F.when(F.col("component_id").isNull(), F.col("fp")))
     best = named.groupBy("component_id", "also").agg(F.min(place).alias("best"))
     kept = cut_lineage(best.select(F.col("best.rid").alias("rid")))
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    uri = write_sorted(kept, "rid", "kept")
+    return rows.filter(_listed(uri)(F.col("rid"))).select("row.*")
+
+
+def _listed(uri: str):
+    """Whether a row number is in the files at ``uri``: only the numbers go to Python, and no row moves to another task."""
+    @F.arrow_udf("boolean")
+    def listed(rid: pa.Array) -> pa.Array:
+        return pa.array(opened(uri, "rid").find(np.asarray(rid))[0])
+    return listed
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusmap.llm import alignment, pieces, sentencepieces
+from corpusmap.llm import alignment, lookup, pieces, sentencepieces
 
 from .test_operators import REPEATED, odd, table
 
@@ -135,7 +135,7 @@ def expected(rows, paths, library):
 def test_alignment(spark, paths, library, chunk, monkeypatch):
     rows = odd(n=12) + REPEATED + [(300 + i, t) for i, t in enumerate(noise(5, 80))]
     rows += [(400, "x" * 700), (401, "ab中文" * 60), (402, "long text, " * 80), (403, "a▁" * 30), (404, "中" * 40 + "▁" + "é " * 40)]
-    monkeypatch.setattr(alignment, "FILE_PAIRS", 500)
+    monkeypatch.setattr(lookup, "FILE_ROWS", 500)
     aligned = alignment.align(table(spark, rows), *paths, chunk_chars=chunk, batch_chars=2000)
     got = alignment.scored(aligned, *paths)
     assert got.columns == alignment.SCORED
@@ -178,3 +178,16 @@ def test_fragments_are_a_monoid(paths):
         whole = alignment.fragment(t, alignment.Run(a, 0), alignment.Run(b, 0))[1]
         assert ";".join(r["groups"] for r in sorted(rows, key=lambda r: r["pos"])) == whole[0]["groups"]
         assert sum(r["n_links"] for r in rows) == whole[0]["n_links"]
+
+
+def test_lookup_files(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id * 3 AS key", "id AS v")
+    uri = lookup.write_sorted(df, "key", "test", file_rows=90)
+    files = lookup.SortedFiles(uri, "key", ("v",))
+    assert len(files.files) > 5
+    keys = np.random.default_rng(0).integers(-10, 3500, 5000)
+    there, (v,) = files.find(keys)
+    want = (keys % 3 == 0) & (keys >= 0) & (keys < 3000)
+    assert (there == want).all() and (v == np.where(want, keys // 3, 0)).all()
+    none = lookup.SortedFiles(lookup.write_sorted(df.limit(0), "key", "test"), "key")
+    assert not none.find(keys)[0].any()
