@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +58,17 @@ def track(spark: SparkSession, path: str) -> str:
     return path
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """The URI of a new folder in the checkpoint folder, for files that tasks write themselves."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    uri = path if "://" in path else f"file://{path}"
+    fs, place = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(place)
+    return track(spark, uri)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
