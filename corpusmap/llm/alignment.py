@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.util import cut_lineage
-from .common import partitions, picked, table
+from .common import kept_in_worker, partitions, picked, table
 from .lookup import opened, write_sorted
 from .pieces import SAFE_CUT, Numbers, batches_of, cut, distinct, spans
 from .sentencepieces import BYTE, SPACE, Encoder, Model
@@ -187,14 +187,9 @@ class Tables:
         return bool(self.ok[at].all()), *(self.flat[k][spans(self.first[k][at], self.size[k][at])].astype(np.int64) for k in "ab")
 
 
-_TABLES: dict = {}
-
-
 def _tables(a_path, b_path) -> Tables:
     """Both tokenizers, once for each Python worker."""
-    if (a_path, b_path) not in _TABLES:
-        _TABLES[a_path, b_path] = Tables(a_path, b_path)
-    return _TABLES[a_path, b_path]
+    return kept_in_worker(("tables", a_path, b_path), lambda: Tables(a_path, b_path))
 
 
 # ---------------------------------------------------------------- fragments

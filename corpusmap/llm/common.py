@@ -7,6 +7,8 @@ the caller wants whole rows back, they travel as one struct column named ``row``
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 
 from pyarrow import fs as pafs
@@ -45,6 +47,17 @@ def task_number() -> int:
     return ctx.partitionId() if ctx else 0
 
 
+def kept_in_worker(key, make):
+    """``make()`` once for each Python worker: what a task learns, such as encoded pieces of text, serves the next one.
+
+    Functions are sent to the workers by value, so their modules' globals last for one task only.
+    """
+    home = sys.modules.setdefault("_corpusmap_worker", types.ModuleType("_corpusmap_worker"))
+    if key not in home.__dict__:
+        home.__dict__[key] = make()
+    return home.__dict__[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

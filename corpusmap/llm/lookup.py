@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 
-from .common import new_folder
+from .common import kept_in_worker, new_folder
 
 FILE_ROWS = 2_000_000
 KEEP_FILES = 3
@@ -71,13 +71,11 @@ class SortedFiles:
         return there, values
 
 
-_OPEN: dict = {}
-
-
 def opened(uri: str, key: str, columns: tuple = ()) -> SortedFiles:
     """The table at ``uri``; a Python worker keeps the last two open."""
-    if uri not in _OPEN:
-        while len(_OPEN) >= 2:
-            _OPEN.pop(next(iter(_OPEN)))
-        _OPEN[uri] = SortedFiles(uri, key, columns)
-    return _OPEN[uri]
+    tables = kept_in_worker("sorted files", dict)
+    if uri not in tables:
+        while len(tables) >= 2:
+            tables.pop(next(iter(tables)))
+        tables[uri] = SortedFiles(uri, key, columns)
+    return tables[uri]

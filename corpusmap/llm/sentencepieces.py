@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import picked, table
+from .common import kept_in_worker, picked, table
 from .pieces import Numbers, batches_of, cut, spans
 
 SPACE = "\u2581"
@@ -254,16 +254,6 @@ def decode_ids(model: Model, ids: list[int]) -> str:
         return text.decode("utf-8", "corpusmap_each_byte")
 
 
-_WORKER: dict = {}
-
-
-def _kept(kind, path, *more):
-    """One model or encoder for each Python worker."""
-    if (kind, path) not in _WORKER:
-        _WORKER[kind, path] = kind(path, *more)
-    return _WORKER[kind, path]
-
-
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4_000_000,
            keep_pieces: int = KEEP_PIECES) -> DataFrame:
     """``(id, ids array<int>)`` for every row: the whole text's ids, without begin or end ids.
@@ -275,7 +265,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     def job(batches):
         for b in batches:
             for part in batches_of(b, "text", batch_chars):
-                encoder = _kept(TextEncoder, model_path, keep_pieces)
+                encoder = kept_in_worker(("texts", model_path, keep_pieces), lambda: TextEncoder(model_path, keep_pieces))
                 ids, count = encoder.encode(part.column("text"))
                 edges = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids.astype(np.int32)))
@@ -295,7 +285,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", out_col: str =
             step = max(1, int(batch_ids // max(1.0, size.mean() if len(size) else 1.0)))
             for i in range(0, len(b), step):
                 part = b.slice(i, step)
-                model = _kept(Model, model_path)
+                model = kept_in_worker(("model", model_path), lambda: Model(model_path))
                 texts = [decode_ids(model, x.tolist()) for x in
                          np.split(np.asarray(part.column("ids").flatten()), np.cumsum(size[i:i + step])[:-1])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["id", "ids", out_col])
