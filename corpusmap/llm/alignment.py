@@ -34,9 +34,9 @@ from .pieces import SAFE_CUT, Numbers, batches_of, cut, distinct, spans
 from .sentencepieces import BYTE, SPACE, Encoder, Model
 from .tokens import bits_for, encode_pieces, line_end_id
 
-KEEP_PIECES = 500_000
+KEEP_PIECES = 200_000
 FAN = 16                # fragments joined to one in a step
-BATCH_KEYS = 4_000_000  # id pairs of documents looked up together
+BATCH_KEYS = 2_000_000  # id pairs of documents looked up together
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -380,7 +380,7 @@ def _long_documents(rows: DataFrame, a_path: str, b_path: str, chunk_chars: int)
 
 
 def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 32_768,
-          batch_chars: int = 4_000_000) -> DataFrame:
+          batch_chars: int = 2_000_000) -> DataFrame:
     """One row per document: ``id, n_a, n_b, n_groups, n_links, groups_sha256, keys, times``, written in the checkpoint folder.
 
     ``keys`` holds the different links as little-endian numbers ``A id << bits | B id``,
@@ -415,7 +415,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     return cut_lineage(one.unionByName(many))
 
 
-def pair_counts(aligned: DataFrame, a_path: str, b_path: str, keep: int = 4_000_000) -> DataFrame:
+def pair_counts(aligned: DataFrame, a_path: str, b_path: str, keep: int = 2_000_000) -> DataFrame:
     """``(key, n)``: in how many documents of :func:`align` each id pair is linked; counted in each task before the shuffle."""
     def job(batches):
         t = _tables(a_path, b_path)

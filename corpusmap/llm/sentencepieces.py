@@ -24,8 +24,8 @@ from .common import kept_in_worker, picked, table
 from .pieces import Numbers, batches_of, cut, spans
 
 SPACE = "\u2581"
-KEEP_PIECES = 500_000   # pieces of text whose ids a worker keeps
-KEEP_PAIRS = 2_000_000  # pairs of ids whose fit a worker keeps
+KEEP_PIECES = 300_000   # pieces of text whose ids a worker keeps
+KEEP_PAIRS = 500_000  # pairs of ids whose fit a worker keeps
 NORMAL, UNKNOWN, CONTROL, UNUSED, BYTE = 1, 2, 3, 5, 6  # fixed values: kinds of pieces in a model file
 
 
