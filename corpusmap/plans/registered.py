@@ -679,16 +679,13 @@ def q_dense(spark, sf_dir):
     return matrix_lines(_dense(spark, sf_dir))
 
 
-@register("x3_x4_sweep_2x2x2")
+@register("x3_x4_sweep_4x4x4")
 def q_sweep(spark, sf_dir):
-    """The reference's whole experiment, 4 tf × 4 idf × 4 perplexities with 500 iterations, docs labelled by lang.
-
-    The name is from an earlier, smaller grid.
-    """
+    """The reference's whole experiment, 4 tf × 4 idf × 4 perplexities with 500 iterations, docs labelled by lang."""
     doc = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label"))
     result, _ = X.sweep(doc, labels, X.grid(spark))
     return result
 
 
-from . import registered_more  # noqa: E402,F401
+from . import registered_more, registered_pairs  # noqa: E402,F401
