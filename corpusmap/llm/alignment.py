@@ -380,7 +380,7 @@ def _long_documents(rows: DataFrame, a_path: str, b_path: str, chunk_chars: int)
 
 
 def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 32_768,
-          batch_chars: int = 2_000_000) -> DataFrame:
+          batch_chars: int = 1_000_000) -> DataFrame:
     """One row per document: ``id, n_a, n_b, n_groups, n_links, groups_sha256, keys, times``, written in the checkpoint folder.
 
     ``keys`` holds the different links as little-endian numbers ``A id << bits | B id``,

@@ -126,23 +126,26 @@ class Encoder:
 
     def merged(self, s: str) -> list[str]:
         """The pieces of a short text by merging the best pair, leftmost first, until none is left."""
-        parts = list(s)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
+        parts, score, never = list(s), self.score.get, float("-inf")
+        scores = [score(a + b, never) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == never:
                 break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            i = scores.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], never)
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], never)
         return parts
 
     def fits(self, left: int, right: int) -> bool:
         if len(self.fit) > KEEP_PAIRS:
             self.fit.clear()
         a, b = self.text[left], self.text[right]
-        found = self.fit[left << 32 | right] = self.merged(a + b) == [a, b]
+        found = self.fit[left << 32 | right] = a + b not in self.score and self.merged(a + b) == [a, b]
         return found
 
     def tokens(self, s: str) -> list[int]:
