@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.util import cut_lineage
-from .common import new_folder, partitions, picked, task_number
+from .common import kept_in_worker, new_folder, partitions, picked, task_number
 from .pieces import Numbers, batches_of, numbered, spans, split_before
 
 MAGIC = b"CMTOKEN1"
@@ -247,15 +247,11 @@ class _Kinds(dict):
 _KINDS = _Kinds()
 
 
-_ENCODERS: dict = {}
-
-
 def _encoder(path: str, limit: int) -> UnitEncoder:
     """One encoder for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    _ENCODERS[path].numbers.limit = limit
-    return _ENCODERS[path]
+    encoder = kept_in_worker(("token files", path), lambda: UnitEncoder(path))
+    encoder.numbers.limit = limit
+    return encoder
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, out_uri: str, end_id: int, id_col: str = "doc_id",
