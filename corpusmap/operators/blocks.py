@@ -61,6 +61,11 @@ class DensePoints:
     def __len__(self):
         return len(self.x)
 
+    def take(self, rows) -> DensePoints:
+        out = DensePoints.__new__(DensePoints)
+        out.x, out.norms, out.width = self.x[rows], self.norms[rows], self.width
+        return out
+
     def dots(self, other) -> np.ndarray:
         return self.x @ other.x.T
 
@@ -94,6 +99,18 @@ class SparsePoints:
     def __len__(self):
         return self.n
 
+    def take(self, rows) -> SparsePoints:
+        """The points at ascending ``rows``."""
+        if len(rows) == self.n:
+            return self
+        place = np.full(self.n, -1, np.int64)
+        place[rows] = np.arange(len(rows))
+        there = place[self.row] >= 0
+        out = SparsePoints.__new__(SparsePoints)
+        out.row, out.col, out.val = place[self.row[there]], self.col[there], self.val[there]
+        out.n, out.width, out.norms = len(rows), self.width, self.norms[rows]
+        return out
+
     def slab(self, first: int) -> np.ndarray:
         a, z = np.searchsorted(self.col, [first, first + SLAB])
         out = np.zeros((self.n, SLAB))

@@ -1,25 +1,24 @@
 """Matrix preparation and exact nearest neighbours.
 
-``knn`` runs on block pairs: each group computes one GEMM block of squared
-distances and keeps a partial top-k per point (both directions): all that
-are nearer than the k-th exact distance, and of those at that distance the
-smallest ids.  Only these candidates are emitted.  The final top-k per point is a
-``row_number() <= k`` window, which Spark plans as ``WindowGroupLimit``
-(partial top-k before the shuffle).  Candidates per point are bounded by
-``n_blocks * k``.  Self is excluded by id, ties are broken by ``dst``.
+``knn`` runs on block files (:mod:`.block_files`).  A task holds the k best of the points
+of one block and opens the other blocks in the order of their distance, one GEMM for each,
+skipping those that the triangle inequality rules out.  Of a GEMM block all that are nearer
+than the k-th exact distance count, and of those at that distance the smallest ids.  The
+task's k best are the result: no candidates are shuffled.  Self is excluded by id, ties are
+broken by ``dst``.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .blocks import DensePoints, SparsePoints, choose_blocks, pair_dists, pair_rows, spread_groups
+from . import block_files as B
+from .blocks import DensePoints, SparsePoints, pair_dists
 
-KNN_SCHEMA = "run_id string, src long, dst long, d2 double"
+KNN_SCHEMA = "run_id string, src long, dst long, d2 double, rank int"
 
 
 def sq_euclidean(a: Column, b: Column) -> Column:
@@ -84,58 +83,122 @@ def _exact_top(d, xs, xt, idt, k):
     return [np.concatenate(x) for x in zip(*out)]
 
 
-def _knn_kernel(k: int):
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        run_id = pdf["run_id"].iloc[0]
-        diag = pdf["_bi"].iloc[0] == pdf["_bj"].iloc[0]
-        a = pdf[pdf["_side"] == 0]
-        b = a if diag else pdf[pdf["_side"] == 1]
-        out = []
-        if len(a) == 0 or len(b) == 0:
-            return pd.DataFrame(columns=["run_id", "src", "dst", "d2"])
-        xa, xb = _points(a), _points(b)
-        ida, idb = a["id"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
-        d = pair_dists(xa, xb)
-        d[ida[:, None] == idb[None, :]] = np.inf  # never one's own neighbour
+def _points(table):
+    """The points of a block file."""
+    if "terms" not in table.column_names:
+        return DensePoints(B.matrix(table["key"]))
+    return SparsePoints(*([np.asarray(x, t) for x in table[c].to_pylist()] for c, t in (("terms", np.int64), ("ws", np.float64))))
 
-        def emit(dm, xs, xt, ids, idt):
-            rows, cols, exact = _exact_top(dm, xs, xt, idt, k)
-            out.append(pd.DataFrame({"src": ids[rows], "dst": idt[cols], "d2": exact}))
 
-        emit(d, xa, xb, ida, idb)
-        if not diag:
-            emit(d.T, xb, xa, idb, ida)
-        res = pd.concat(out) if out else pd.DataFrame(columns=["src", "dst", "d2"])
-        res.insert(0, "run_id", run_id)
-        return res[["run_id", "src", "dst", "d2"]]
-    return kernel
+class _Best:
+    """The k best of each point of a block so far, ties to the smallest ids."""
 
+    def __init__(self, n: int, k: int):
+        self.d2, self.dst = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
-def _points(pdf: pd.DataFrame):
-    return DensePoints(pdf["vec"]) if "vec" in pdf.columns else SparsePoints(pdf["terms"].values, pdf["ws"].values)
+    def add(self, rows, dst, d2):
+        """Candidates of a block; ``rows`` ascending."""
+        k = self.d2.shape[1]
+        better = (d2 < self.d2[rows, -1]) | (d2 == self.d2[rows, -1]) & (dst < self.dst[rows, -1])
+        rows, dst, d2 = rows[better], dst[better], d2[better]
+        mine = np.unique(rows)
+        if not len(mine):
+            return
+        row = np.concatenate([np.repeat(mine, k), rows])
+        d2, dst = np.concatenate([self.d2[mine].ravel(), d2]), np.concatenate([self.dst[mine].ravel(), dst])
+        by = np.lexsort((dst, d2, row))
+        row, d2, dst = row[by], d2[by], dst[by]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        self.d2[mine], self.dst[mine] = d2[keep].reshape(-1, k), dst[keep].reshape(-1, k)
+
+
+def _search(task: dict, index, k: int):
+    """``(ids, best, blocks opened, blocks skipped)`` of the block of a task.
+
+    Keys are never further apart than the points themselves.  A block is opened for the
+    points whose k-th distance so far reaches its ball of keys; at a k-th distance of 0 only
+    smaller ids could still count.
+    """
+    table = B.read_file(task["uri"])
+    ids, key, x = np.asarray(table["id"]), B.matrix(table["key"]), _points(table)
+    best, opened = _Best(len(ids), k), 0
+    me = int(np.searchsorted(index.block, task["block"]))
+    size = np.sqrt((index.center ** 2).sum(axis=1))
+    apart = np.sqrt(((index.center - index.center[me]) ** 2).sum(axis=1))
+    order = np.lexsort((index.least, np.maximum(apart - index.radius - index.radius[me], 0.0), np.arange(len(apart)) != me))
+    for j in order.tolist():
+        away = np.sqrt(((key - index.center[j]) ** 2).sum(axis=1))
+        slack = 1e-9 * (away + index.radius[j]) + 1e-12 * size[j]  # rounding
+        reach = away - index.radius[j] - slack <= np.sqrt(best.d2[:, -1]) * (1 + 1e-9)
+        reach &= ~((best.d2[:, -1] == 0) & (best.dst[:, -1] < index.least[j]))
+        todo = np.flatnonzero(reach)
+        if not len(todo):
+            continue
+        opened += 1
+        other = table if j == me else B.read_file(index.uris[j])
+        their, y = np.asarray(other["id"]), x if j == me else _points(other)
+        step = max(1, B.STRIP_VALUES // max(1, len(their)))
+        for i in range(0, len(todo), step):
+            rows = todo[i:i + step]
+            part = x.take(rows)
+            d = pair_dists(part, y)
+            d[ids[rows][:, None] == their[None, :]] = np.inf  # never one's own neighbour
+            r, c, exact = _exact_top(d, part, y, their, k)
+            best.add(rows[r], their[c], exact)
+    return ids, best, opened, len(index.block) - opened
+
+
+def _knn_job(k: int, emit: bool):
+    def job(batches):
+        known = {}  # index files of this task
+        for b in batches:
+            for task in b.to_pylist():
+                if task["index"] not in known:
+                    known = {task["index"]: B.Index(task["index"])}
+                ids, best, opened, skipped = _search(task, known[task["index"]], k)
+                if not emit:
+                    yield pa.RecordBatch.from_pydict({"run_id": pa.array([task["run_id"]], pa.string()), "opened": [opened], "skipped": [skipped]})
+                    continue
+                there = np.isfinite(best.d2)
+                row, rank = np.nonzero(there)
+                yield pa.RecordBatch.from_arrays([pa.array([task["run_id"]] * len(row), pa.string()), pa.array(ids[row]), pa.array(best.dst[there]),
+                                                  pa.array(best.d2[there]), pa.array((rank + 1).astype(np.int32))],
+                                                 names=["run_id", "src", "dst", "d2", "rank"])
+    return job
 
 
 def knn(points: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", run_col: str | None = "run_id",
-        block_rows: int = 1024) -> DataFrame:
+        block_rows: int | None = None) -> DataFrame:
     """``(run_id, src, dst, d2, rank)``: the k nearest other points of every point (squared distance)."""
-    return _nearest(_prep(points, id_col, vec_col, run_col), k, block_rows)
+    return _nearest(knn_tasks(points, id_col, vec_col, run_col, block_rows), k)
 
 
-def knn_sparse(rows: DataFrame, k: int, block_rows: int = 1024) -> DataFrame:
+def knn_tasks(points: DataFrame, id_col: str = "id", vec_col: str = "vec", run_col: str | None = "run_id",
+              block_rows: int | None = None) -> DataFrame:
+    """Points as block files, a row for each block."""
+    p = _prep(points, id_col, vec_col, run_col).withColumnRenamed("vec", "key")
+    width = p.select(F.size("key")).first()
+    return B.by_pivots(p, width[0] if width else 1, block_rows)
+
+
+def knn_sparse(rows: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
     """N1 on ``rows(run_id, id, terms array<bigint>, ws array<double>)``: sparse vectors stay sparse until a
-    task makes a few columns of its two blocks dense."""
-    return _nearest(rows.select("run_id", "id", "terms", "ws"), k, block_rows)
+    task makes a few columns of two blocks dense.  Blocks are ranges of lengths |v|."""
+    length = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, w: a + w * w))
+    p = rows.select("run_id", F.col("id").cast("long").alias("id"), F.array(length).alias("key"), "terms", "ws")
+    width = rows.agg(F.avg(F.size("ws"))).first()[0]
+    return _nearest(B.by_pivots(p, 2 * (width or 0.0) + 1, block_rows), k)
 
 
-def _nearest(p: DataFrame, k: int, block_rows: int) -> DataFrame:
+def _nearest(tasks: DataFrame, k: int) -> DataFrame:
     if k < 1:
         raise ValueError("k must be >= 1")
-    sizes = p.groupBy("run_id").count().agg(F.max("count"), F.count(F.lit(1))).first()
-    nb = choose_blocks(int(sizes[0] or 0), block_rows)
-    rows = spread_groups(pair_rows(p, nb, "id"), nb, int(sizes[1] or 1))
-    cand = rows.groupBy("run_id", "_bi", "_bj").applyInPandas(_knn_kernel(int(k)), KNN_SCHEMA)
-    w = Window.partitionBy("run_id", "src").orderBy("d2", "dst")
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(k))
+    return tasks.mapInArrow(_knn_job(int(k), True), KNN_SCHEMA)
+
+
+def knn_pairs(tasks: DataFrame, k: int) -> DataFrame:
+    """``(run_id, opened, skipped)``: how many other blocks the search of each block of :func:`knn_tasks` opens, and how many not."""
+    return tasks.mapInArrow(_knn_job(int(k), False), "run_id string, opened long, skipped long")
 
 
 def sparse_max_scale(weights: DataFrame, base: DataFrame, n_points: DataFrame) -> DataFrame:
