@@ -92,8 +92,8 @@ def _written(rows: DataFrame) -> DataFrame:
     return cut_lineage(rows.groupBy("run_id", "block").applyInArrow(save, INDEX_SCHEMA))
 
 
-def _tasks(blocks: DataFrame) -> DataFrame:
-    """``(run_id, block, uri, index)``: the work of one task for each block, with the index file of its run."""
+def _tasks(blocks: DataFrame, n: int) -> DataFrame:
+    """``(run_id, block, uri, index)``: the work of one task for each of about ``n`` blocks, with the index file of its run."""
     uri = shared_folder(blocks.sparkSession, "index")
 
     def save(group: pa.Table) -> pa.Table:
@@ -102,28 +102,33 @@ def _tasks(blocks: DataFrame) -> DataFrame:
         write_file(name, group.drop_columns(["run_id"]).combine_chunks().sort_by("block"))
         return pa.table({"run_id": pa.array([run], pa.string()), "index": [name]})
 
-    index = cut_lineage(blocks.groupBy("run_id").applyInArrow(save, "run_id string, index string"))
-    n = blocks.count()  # a row for each block
+    index = blocks.groupBy("run_id").applyInArrow(save, "run_id string, index string")
     work = blocks.select("run_id", "block", "uri").join(F.broadcast(index), "run_id")  # one row for each run
     return work.repartition(max(1, min(n, 20_000)))
 
 
-def by_hash(rows: DataFrame, values: float, block_rows: int | None = None) -> DataFrame:
+def _sizes(rows: DataFrame, values, block_rows: int | None) -> tuple[int, dict]:
+    """``(rows of a block, blocks of each run)``; ``values``: the numbers that a row holds."""
+    found = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum(values).alias("values")).collect()  # a row for each run
+    total = sum(r.n for r in found)
+    mean = sum(r["values"] or 0 for r in found) / max(1, total)
+    per = rows_per_block(total, mean, rows.sparkSession.sparkContext.defaultParallelism, block_rows)
+    return per, {r.run_id: math.ceil(r.n / per) for r in found}
+
+
+def by_hash(rows: DataFrame, values, block_rows: int | None = None) -> DataFrame:
     """Tasks over blocks of ``rows(run_id, id, ...)`` by a hash of the id."""
-    counts = cut_lineage(rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n")))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    per = rows_per_block(total, values, rows.sparkSession.sparkContext.defaultParallelism, block_rows)
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / per))
-    dealt = rows.join(F.broadcast(counts), "run_id")  # one row for each run
-    return _tasks(_written(dealt.withColumn("block", F.pmod(F.xxhash64("id"), nb)).drop("_n")))
+    _, blocks = _sizes(rows, values, block_rows)
+    of_run = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]) if blocks else F.create_map()
+    block = F.pmod(F.xxhash64("id"), of_run[F.col("run_id")]) if blocks else F.lit(0)
+    return _tasks(_written(rows.withColumn("block", block.cast("long"))), sum(blocks.values()))
 
 
-def by_pivots(rows: DataFrame, values: float, block_rows: int | None = None) -> DataFrame:
+def by_pivots(rows: DataFrame, values, block_rows: int | None = None) -> DataFrame:
     """Tasks over blocks of ``rows(run_id, id, key, ...)`` that hold points with near keys."""
     spark = rows.sparkSession
-    sizes = {r.run_id: r.n for r in rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    per = rows_per_block(sum(sizes.values()), values, spark.sparkContext.defaultParallelism, block_rows)
-    want = {run: min(MAX_PIVOTS, math.ceil(n / per)) for run, n in sizes.items()}
+    per, blocks = _sizes(rows, values, block_rows)
+    want = {run: min(MAX_PIVOTS, n) for run, n in blocks.items()}
     first = Window.partitionBy("run_id").orderBy(F.xxhash64("id"), "id")
     sample = (rows.select("run_id", "id", "key", F.row_number().over(first).alias("r"))
               .filter(F.col("r") <= max(want.values(), default=1)).collect())  # at most MAX_PIVOTS points of a run
@@ -146,14 +151,14 @@ def by_pivots(rows: DataFrame, values: float, block_rows: int | None = None) ->
     celled = rows.mapInArrow(assign, schema)
     cut = [i / QUANTILES for i in range(1, QUANTILES)]
     cells = celled.groupBy("run_id", "_cell").agg(F.ceil(F.count(F.lit(1)) / per).alias("_parts"), F.percentile_approx("id", cut).alias("_cut"))
-    cells = cut_lineage(cells.withColumn("_cut", F.when(F.col("_parts") > 1, F.col("_cut"))))  # at most MAX_PIVOTS rows of a run
+    cells = cells.withColumn("_cut", F.when(F.col("_parts") > 1, F.col("_cut")))  # at most MAX_PIVOTS rows of a run
     dealt = celled.join(F.broadcast(cells), ["run_id", "_cell"])
     rank = F.size(F.filter("_cut", lambda c: c < F.col("id"))).cast("long")
     more = F.ceil(F.col("_parts") / QUANTILES)
     part = F.when(F.col("_parts") == 1, F.lit(0)).when(more == 1, F.floor(rank * F.col("_parts") / QUANTILES)).otherwise(
         rank * more + F.pmod(F.xxhash64("id"), more))
     block = F.col("_cell") * F.lit(1 << 32) + part
-    return _tasks(_written(dealt.withColumn("block", block).drop("_cell", "_parts", "_cut")))
+    return _tasks(_written(dealt.withColumn("block", block).drop("_cell", "_parts", "_cut")), sum(blocks.values()))
 
 
 class Index:

@@ -177,8 +177,7 @@ def knn_tasks(points: DataFrame, id_col: str = "id", vec_col: str = "vec", run_c
               block_rows: int | None = None) -> DataFrame:
     """Points as block files, a row for each block."""
     p = _prep(points, id_col, vec_col, run_col).withColumnRenamed("vec", "key")
-    width = p.select(F.size("key")).first()
-    return B.by_pivots(p, width[0] if width else 1, block_rows)
+    return B.by_pivots(p, F.size("key"), block_rows)
 
 
 def knn_sparse(rows: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
@@ -186,8 +185,7 @@ def knn_sparse(rows: DataFrame, k: int, block_rows: int | None = None) -> DataFr
     task makes a few columns of two blocks dense.  Blocks are ranges of lengths |v|."""
     length = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, w: a + w * w))
     p = rows.select("run_id", F.col("id").cast("long").alias("id"), F.array(length).alias("key"), "terms", "ws")
-    width = rows.agg(F.avg(F.size("ws"))).first()[0]
-    return _nearest(B.by_pivots(p, 2 * (width or 0.0) + 1, block_rows), k)
+    return _nearest(B.by_pivots(p, F.size("ws") * 2 + 1, block_rows), k)
 
 
 def _nearest(tasks: DataFrame, k: int) -> DataFrame:
