@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
@@ -21,7 +23,7 @@ from . import sweep as X
 from .registered import (BAND_EXCLUDE, PLAIN, SQL_MAP, SQL_POINTS, SQL_TERMS, _DENSE_SQL, _IDF_SQL, _TF_SQL, _dense, _vocab_cte, _with,
                          documents, embedding_map, embeddings, postings, r6, register, table)
 from .termvect import TermVectConfig
-from .util import cut_lineage
+from .util import cut_lineage, shared_folder
 
 
 def folder(spark, kind: str) -> str:
@@ -252,3 +254,44 @@ def q_plot(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("label"))
     p = X.plot_frame(X.attach_labels(embedding_map(spark, sf_dir), e))
     return p.select("run_id", "label", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+# ------------------------------------------------------------------------- S1, S2
+def _as_files(spark, sf_dir):
+    """``documents`` as one text file each, written by the tasks: the folder and ``(doc_id, uri)``."""
+    root = shared_folder(spark, "corpus")
+
+    def write(batches):
+        for b in batches:
+            uris = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                uris.append(f"{root}/{i % 16:02d}/{i:019d}.txt")
+                fs, path = pafs.FileSystem.from_uri(uris[-1])
+                fs.create_dir(path.rsplit("/", 1)[0])
+                with fs.open_output_stream(path) as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(uris, pa.string())], names=["doc_id", "uri"])
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return root, cut_lineage(rows.mapInArrow(write, "doc_id long, uri string"))
+
+
+_SQL_FILES = "SELECT (row_number() OVER (ORDER BY {order})) - 1 AS doc_id, doc_id AS file, md5(replace(coalesce(text, ''), chr(65533), '')) AS text_md5 FROM documents"
+
+
+def _files_read(df):
+    return df.select("doc_id", F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("file"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@register("s1_corpus_folder", _SQL_FILES.format(order="doc_id % 16, doc_id"))
+def q_s1(spark, sf_dir):
+    """``documents`` as text files in folders, read back by their folder; ids are ranks of the paths."""
+    return _files_read(S.read_corpus_dir(spark, _as_files(spark, sf_dir)[0], suffix=".txt"))
+
+
+@register("s2_corpus_list", _SQL_FILES.format(order="doc_id DESC"))
+def q_s2(spark, sf_dir):
+    """The same files named in a list, which runs backwards; ids are places in the list."""
+    root, files = _as_files(spark, sf_dir)
+    files.orderBy(F.desc("doc_id")).select("uri").write.text(f"{root}/list")
+    return _files_read(S.read_corpus_list(spark, f"{root}/list"))
