@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import block_files as B
+from .block_files import STRIP_VALUES, Index, by_pivots, matrix, read_file  # by name: functions go to the workers with the globals they use
 from .blocks import DensePoints, SparsePoints, pair_dists
 
 KNN_SCHEMA = "run_id string, src long, dst long, d2 double, rank int"
@@ -86,7 +86,7 @@ def _exact_top(d, xs, xt, idt, k):
 def _points(table):
     """The points of a block file."""
     if "terms" not in table.column_names:
-        return DensePoints(B.matrix(table["key"]))
+        return DensePoints(matrix(table["key"]))
     return SparsePoints(*([np.asarray(x, t) for x in table[c].to_pylist()] for c, t in (("terms", np.int64), ("ws", np.float64))))
 
 
@@ -119,8 +119,8 @@ def _search(task: dict, index, k: int):
     points whose k-th distance so far reaches its ball of keys; at a k-th distance of 0 only
     smaller ids could still count.
     """
-    table = B.read_file(task["uri"])
-    ids, key, x = np.asarray(table["id"]), B.matrix(table["key"]), _points(table)
+    table = read_file(task["uri"])
+    ids, key, x = np.asarray(table["id"]), matrix(table["key"]), _points(table)
     best, opened = _Best(len(ids), k), 0
     me = int(np.searchsorted(index.block, task["block"]))
     size = np.sqrt((index.center ** 2).sum(axis=1))
@@ -135,9 +135,9 @@ def _search(task: dict, index, k: int):
         if not len(todo):
             continue
         opened += 1
-        other = table if j == me else B.read_file(index.uris[j])
+        other = table if j == me else read_file(index.uris[j])
         their, y = np.asarray(other["id"]), x if j == me else _points(other)
-        step = max(1, B.STRIP_VALUES // max(1, len(their)))
+        step = max(1, STRIP_VALUES // max(1, len(their)))
         for i in range(0, len(todo), step):
             rows = todo[i:i + step]
             part = x.take(rows)
@@ -154,7 +154,7 @@ def _knn_job(k: int, emit: bool):
         for b in batches:
             for task in b.to_pylist():
                 if task["index"] not in known:
-                    known = {task["index"]: B.Index(task["index"])}
+                    known = {task["index"]: Index(task["index"])}
                 ids, best, opened, skipped = _search(task, known[task["index"]], k)
                 if not emit:
                     yield pa.RecordBatch.from_pydict({"run_id": pa.array([task["run_id"]], pa.string()), "opened": [opened], "skipped": [skipped]})
@@ -177,7 +177,7 @@ def knn_tasks(points: DataFrame, id_col: str = "id", vec_col: str = "vec", run_c
               block_rows: int | None = None) -> DataFrame:
     """Points as block files, a row for each block."""
     p = _prep(points, id_col, vec_col, run_col).withColumnRenamed("vec", "key")
-    return B.by_pivots(p, F.size("key"), block_rows)
+    return by_pivots(p, F.size("key"), block_rows)
 
 
 def knn_sparse(rows: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
@@ -185,7 +185,7 @@ def knn_sparse(rows: DataFrame, k: int, block_rows: int | None = None) -> DataFr
     task makes a few columns of two blocks dense.  Blocks are ranges of lengths |v|."""
     length = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, w: a + w * w))
     p = rows.select("run_id", F.col("id").cast("long").alias("id"), F.array(length).alias("key"), "terms", "ws")
-    return _nearest(B.by_pivots(p, F.size("ws") * 2 + 1, block_rows), k)
+    return _nearest(by_pivots(p, F.size("ws") * 2 + 1, block_rows), k)
 
 
 def _nearest(tasks: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmap.operators import block_files as B
 from corpusmap.operators import distance as D
+from corpusmap.operators import separation as separation_module
 from corpusmap.operators.separation import label_pair_sums, separation
 
 
@@ -52,7 +53,7 @@ def test_clusters_are_pruned_and_exact(spark):
     tasks.unpersist()
 
 
-def test_a_hot_cell_is_split_and_skipped(spark, monkeypatch):
+def test_a_hot_cell_is_split_and_skipped(spark):
     """A third of all points at one place: blocks stay small, and blocks of larger ids are not opened."""
     rng = np.random.default_rng(6)
     points = [("a", i, [3.0, 4.0] if i % 3 == 0 else rng.normal(size=2)) for i in rng.permutation(900)]
@@ -87,7 +88,7 @@ def test_class_sums_by_strips(spark, monkeypatch):
     x, lab = np.array([v for _, v, _ in rows]), np.array([label for _, _, label in rows])
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     eq, off = lab[:, None] == lab[None, :], ~np.eye(70, dtype=bool)
-    monkeypatch.setattr(B, "STRIP_VALUES", 30)  # a few rows a strip
+    monkeypatch.setattr(separation_module, "STRIP_VALUES", 30)  # a few rows a strip
     got = separation(df, run_col=None, block_rows=9).first()
     assert (got.within, got.between) == pytest.approx((d[eq & off].mean(), d[~eq].mean()))
     sums = {(r.l1, r.l2): (r.sum_dist, r.n_pairs) for r in label_pair_sums(df, run_col=None, block_rows=9).collect()}
@@ -99,6 +100,17 @@ def test_class_sums_by_strips(spark, monkeypatch):
     assert sum(n for _, n in sums.values()) == 70 * 69 // 2
 
 
+def test_inside_temporary_tables(spark):
+    """Nothing of the session goes to the workers."""
+    from corpusmap.plans.util import temporary_tables
+
+    points = [("a", i, [float(i), float(i % 3)]) for i in range(40)]
+    with temporary_tables():
+        same(found(D.knn(frame(spark, points), 3, block_rows=10)), brute(points, 3))
+        labelled = frame(spark, points).withColumn("label", F.col("id") % 2)
+        assert separation(labelled, block_rows=10).count() == 1
+
+
 def test_shuffled_rows_do_not_grow_with_the_blocks(spark):
     """Each point goes to one block file."""
     rng = np.random.default_rng(9)
