@@ -1,19 +1,23 @@
-"""Porter (1980) suffix stripping, as a small per-word helper.
-
-The helper is applied only to *distinct* words, in Arrow batches through a
-pandas UDF (:func:`stem_udf`); joining the stems back and re-counting is done
-by Spark in :mod:`corpusmap.operators.terms`.  Words of one or two letters are
-returned unchanged.  The rule lists follow the published algorithm with the
-widely used revisions of the reference C implementation (bli→ble, logi→log).
+"""Porter (1980) suffix stripping as Catalyst expressions.
+
+A word is first marked: a ``y`` that counts as a consonant (at the start or after
+a vowel) becomes ``Y``.  From then on vowels are ``[aeiouy]``, consonants all other
+characters, and each condition of the algorithm (measure, vowel in the stem,
+consonant-vowel-consonant ending) is one regular expression; marks depend only on
+what stands before, so they stay right while endings change.  Every step is a CASE
+over the word's ending.  All of it runs in the JVM.
+
+Words are expected in lower case; those of one or two letters are returned
+unchanged.  The rule lists follow the published algorithm with the widely used
+revisions of its author's C implementation (bli→ble, logi→log).
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from collections.abc import Callable
 
-_VOWELS = frozenset("aeiou")
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # --- fixed values: Porter suffix rules (suffix, replacement), in rule order ------
 STEP2_RULES = (
@@ -32,106 +36,74 @@ STEP4_SUFFIXES = (
     "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
 )
 
+# a vowel, a consonant, and stems of measure > 0 and > 1 by what they contain
+_V, _C = "[aeiouy]", "[^aeiouy]"
+_M1 = _V + _C
+_M2 = f"{_V}{_C}+{_V}+{_C}"
+# the whole stem has measure 1 and ends consonant, vowel, consonant other than w, x, y
+_SHORT = f"^{_C}+{_V}[^aeiouywxY]"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _cut(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
+
+def _cases(w: Column, cases) -> Column:
+    """The first case whose condition holds, else ``w``."""
+    (cond, then), *rest = cases
+    out = F.when(cond, then)
+    for cond, then in rest:
+        out = out.when(cond, then)
+    return out.otherwise(w)
+
+
+def _step_1a(w: Column) -> Column:
+    return _cases(w, [(w.endswith("sses") | w.endswith("ies"), _cut(w, 2)), (w.endswith("ss"), w),
+                      (w.endswith("s"), _cut(w, 1))])
+
+
+def _step_1b(w: Column) -> Column:
+    cut = F.when(w.rlike(_V + ".*ed$"), _cut(w, 2)).when(w.rlike(_V + ".*ing$"), _cut(w, 3))
+
+    def mend(x: Column) -> Column:
+        end, prior = F.substring(x, -1, 1), F.substring(x, -2, 1)
+        double = ((F.length(x) >= 2) & (F.translate(end, "Y", "y") == F.translate(prior, "Y", "y"))
+                  & end.rlike(_C) & ~end.isin("l", "s", "z"))
+        return _cases(x, [(x.rlike("(at|bl|iz)$"), F.concat(x, F.lit("e"))), (double, _cut(x, 1)),
+                          (x.rlike(_SHORT + "$"), F.concat(x, F.lit("e")))])
+
+    return F.when(w.endswith("eed"), F.regexp_replace(w, f"({_M1}.*)eed$", "$1ee")).otherwise(
+        F.coalesce(_let(cut, mend), w))
+
+
+def _step_1c(w: Column) -> Column:
+    return F.regexp_replace(w, f"({_V}.*)[yY]$", "$1i")
+
+
+def _step_2_3(rules) -> Callable[[Column], Column]:
+    return lambda w: _cases(w, [(w.endswith(suf), F.regexp_replace(w, f"({_M1}.*){suf}$", f"$1{rep}"))
+                                for suf, rep in rules])
+
+
+def _step_4(w: Column) -> Column:
+    return _cases(w, [(w.rlike("[st]ion$") if suf == "ion" else w.endswith(suf),
+                       F.regexp_replace(w, f"({_M2}.*){suf}$", "$1")) for suf in STEP4_SUFFIXES])
+
+
+def _step_5(w: Column) -> Column:
+    cut = F.when(w.rlike(_M1 + ".*e$") & ~w.rlike(_SHORT + "e$"), _cut(w, 1)).otherwise(w)
+    return _let(cut, lambda x: F.when(x.endswith("ll") & x.rlike(_M2), _cut(x, 1)).otherwise(x))
+
 
-def _is_consonant(w: str, i: int) -> bool:
-    c = w[i]
-    if c in _VOWELS:
-        return False
-    if c == "y":
-        return i == 0 or not _is_consonant(w, i - 1)
-    return True
-
-
-def _measure(stem: str) -> int:
-    """Number of VC sequences in ``stem``."""
-    m, prev_vowel = 0, False
-    for i in range(len(stem)):
-        cons = _is_consonant(stem, i)
-        if cons and prev_vowel:
-            m += 1
-        prev_vowel = not cons
-    return m
-
-
-def _has_vowel(stem: str) -> bool:
-    return any(not _is_consonant(stem, i) for i in range(len(stem)))
-
-
-def _double_consonant(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _is_consonant(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    if len(w) < 3:
-        return False
-    return (_is_consonant(w, len(w) - 3) and not _is_consonant(w, len(w) - 2)
-            and _is_consonant(w, len(w) - 1) and w[-1] not in "wxy")
-
-
-def _replace_if(w: str, rules, min_m: int) -> str:
-    for suf, rep in rules:
-        if w.endswith(suf):
-            stem = w[: len(w) - len(suf)]
-            return stem + rep if _measure(stem) > min_m - 1 else w
-    return w
-
-
-def porter_stem(word: str) -> str:
-    """Stem one lower-case word."""
-    w = word
-    if len(w) <= 2:
-        return w
-    # step 1a
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-    # step 1b
-    extra = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, extra = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, extra = w[:-3], True
-    if extra:
-        if w.endswith(("at", "bl", "iz")):
-            w += "e"
-        elif _double_consonant(w) and w[-1] not in "lsz":
-            w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
-            w += "e"
-    # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    # steps 2 and 3
-    w = _replace_if(w, STEP2_RULES, 1)
-    w = _replace_if(w, STEP3_RULES, 1)
-    # step 4
-    for suf in STEP4_SUFFIXES:
-        if w.endswith(suf):
-            stem = w[: len(w) - len(suf)]
-            if _measure(stem) > 1 and (suf != "ion" or stem.endswith(("s", "t"))):
-                w = stem
-            break
-    # step 5a
-    if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    # step 5b
-    if w.endswith("ll") and _measure(w) > 1:
-        w = w[:-1]
-    return w
-
-
-@F.pandas_udf(T.StringType())
-def stem_udf(words: pd.Series) -> pd.Series:
-    """Arrow-batched stemming of a column of distinct words."""
-    return words.map(lambda x: None if x is None else porter_stem(x))
+def porter_stem(word: Column | str) -> Column:
+    """The stem of a column of lower-case words (null: null)."""
+    word = F.col(word) if isinstance(word, str) else word
+    w = F.regexp_replace(F.regexp_replace(word, "(^|[aeiou])y", "$1Y"), "yy", "yY")
+    for step in (_step_1a, _step_1b, _step_1c, _step_2_3(STEP2_RULES), _step_2_3(STEP3_RULES), _step_4, _step_5):
+        w = _let(w, step)
+    return F.when(F.length(word) <= 2, word).otherwise(F.translate(w, "Y", "y"))

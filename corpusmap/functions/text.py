@@ -2,8 +2,8 @@
 
 Everything here returns a ``Column`` so tokenising, lower-casing and
 stop-word removal run JVM-side inside the scan's codegen stage; no Python
-touches the text.  Stemming (A5) is the one step that needs a per-word
-rule table and lives in :mod:`corpusmap.functions.stem`.
+touches the text.  Stemming (A5) has its own rules, in
+:mod:`corpusmap.functions.stem`.
 """
 
 from __future__ import annotations
@@ -20,19 +20,50 @@ ENGLISH_STOP_WORDS = (
 # --- fixed values: longest token the reference's analyzer keeps (``max_length``; off by default)
 MAX_TOKEN_LENGTH = 255
 
-# Tokenizer patterns.  ``simple`` is portable (Java regex and RE2 agree on it),
-# which is what the SQL oracle uses.  ``words`` approximates Unicode word
-# segmentation: letters may be joined by ' ’ . : ·, digits by ' ’ . , ;
-# and each Han / Hiragana character is a token of its own.
-_WORD_CHAR = r"[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]"
-TOKEN_PATTERNS = {
-    "simple": r"[\p{L}\p{N}_]+",
-    "words": (
-        r"[\p{IsHan}\p{IsHiragana}]"
-        r"|" + _WORD_CHAR + r"+(?:(?:(?<=\p{L})['’.:·](?=\p{L})|(?<=\p{N})['’.,;](?=\p{N}))"
-        + _WORD_CHAR + r"+)*"
-    ),
+# --- fixed values: word-break classes of Unicode's text segmentation (UAX #29) by category, script and
+# the characters that join words; text outside every class separates
+WORD_CLASSES = {
+    "extend": r"[\p{M}\p{Cf}\x{FF9E}\x{FF9F}&&[^\x{200B}]]",  # Extend, Format, ZWJ
+    "ideograph": r"[\p{IsHan}\p{IsHiragana}&&[^\p{M}]]",
+    "katakana": r"[\p{IsKatakana}\x{3031}-\x{3035}\x{309B}\x{309C}\x{30A0}\x{30FC}\x{FF70}]",
+    "complex": r"[\p{L}&&[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]",  # line-break class SA
+    "hebrew": r"[\p{L}&&[\p{IsHebrew}]]",
+    "numeric": r"[\p{Nd}\x{066B}]",
+    "joiner": r"[\p{Pc}\x{202F}]",  # ExtendNumLet
+    "mid_letter": r"[:\x{00B7}\x{0387}\x{055F}\x{05F4}\x{2027}\x{FE13}\x{FE55}\x{FF1A}'.\x{2018}\x{2019}\x{2024}\x{FE52}\x{FF07}\x{FF0E}]",
+    "mid_number": r"[,;\x{037E}\x{0589}\x{060C}\x{060D}\x{066C}\x{07F8}\x{2044}\x{FE10}\x{FE14}\x{FE50}\x{FE54}\x{FF0C}\x{FF1B}'.\x{2018}\x{2019}\x{2024}\x{FE52}\x{FF07}\x{FF0E}]",
 }
+WORD_CLASSES["letter"] = (r"[\p{L}\p{Nl}\x{24B6}-\x{24E9}&&[^\x{FF9E}\x{FF9F}"
+                          + "".join(WORD_CLASSES[c] for c in ("ideograph", "katakana", "complex", "hebrew")) + "]]")
+
+
+def word_pattern(c: dict) -> str:
+    """The boundary rules as one regular expression over the classes ``c`` (name -> character class).
+
+    Letters and digits stick together, also across one joining mark between two letters or two
+    digits and across connectors (``_``); a Hebrew letter keeps a quote; Katakana runs, runs of
+    scripts without spaces and single ideographs are words.  Marks belong to what they follow.  No rule looks
+    around, and what a loop takes is never given back, so long words need no stack.
+    """
+    x = c["extend"] + "*+"
+
+    def run(name: str) -> str:
+        return f"{c[name]}[{c[name]}{c['extend']}]*+"
+
+    hebrew = f"{c['hebrew']}{x}(?:\"{x}{c['hebrew']}{x})*+(?:'{x})?+"
+    letters = f"(?:{run('letter')}|{hebrew})++"
+    letters += f"(?:{c['mid_letter']}{x}{letters})*+"
+    digits = f"{run('numeric')}(?:{c['mid_number']}{x}{run('numeric')})*+"
+    core = f"(?:(?:{letters}|{digits})++|{run('katakana')})"
+    join = run("joiner")
+    return (f"(?:{join})?+{core}(?:{join}{core})*+(?:{join})?+|{run('complex')}|{c['ideograph']}{x}")
+
+
+# Tokenizer patterns.  ``simple`` is portable (Java regex and RE2 agree on it);
+# ``words`` cuts at Unicode's word boundaries; runs of ASCII letters before a space, and spaces, which
+# are most of many texts, are settled first (the same words by the rules, without their long classes).
+TOKEN_PATTERNS = {"simple": r"[\p{L}\p{N}_]+",
+                  "words": rf"[A-Za-z]++(?=[ \n])|(?![ \n])(?:{word_pattern(WORD_CLASSES)})"}
 POSSESSIVE_PATTERN = r"['’＇][sS]$"
 
 

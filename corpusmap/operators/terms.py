@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.stem import stem_udf
+from ..functions.stem import porter_stem
 from ..functions.text import ENGLISH_STOP_WORDS, analyze_tokens, run_counts, run_ends
 from ..plans.util import bounded_broadcast, cut_lineage
 
@@ -34,8 +34,8 @@ def _row_term_counts(doc: DataFrame, id_col: str, text_col: str, mode: str, poss
             .select("doc_id", F.col("_r.term").alias("term"), F.col("_r.tf").alias("tf"), "max_tf"))
 
 
-def stem_table(words: DataFrame, word_col: str = "word", stemmer=stem_udf) -> DataFrame:
-    """(word, term): A5 applied once per distinct word (the default stemmer Arrow-batched)."""
+def stem_table(words: DataFrame, word_col: str = "word", stemmer=porter_stem) -> DataFrame:
+    """(word, term): A5 applied once per distinct word (in the JVM)."""
     return words.select(F.col(word_col).alias("word")).distinct().select("word", stemmer(F.col("word")).alias("term"))
 
 
@@ -53,7 +53,7 @@ def term_freqs(doc: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     if not stem:
         return tf
     tf = cut_lineage(tf.select("doc_id", F.col("term").alias("word"), "tf"))
-    words = cut_lineage(stem_table(tf, stemmer=stem if callable(stem) else stem_udf))
+    words = cut_lineage(stem_table(tf, stemmer=stem if callable(stem) else porter_stem))
     words, _ = bounded_broadcast(words)
     stemmed = (tf.join(words, "word")
                .repartition("doc_id")

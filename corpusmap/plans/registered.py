@@ -642,20 +642,8 @@ def q_attach(spark, sf_dir):
     return out.select("id", "label", r6(F.col("y0")).alias("y0"), r6(F.col("y1")).alias("y1"))
 
 
-# ----------------------------------------------------------------- rows-only: stemming, word tokenizer, dense, sweep
-@register("a5_a6_stemmed_term_freqs")
-def q_stemmed(spark, sf_dir):
-    """Full analysis chain with Porter stems (distinct words stemmed once, joined back, re-counted)."""
-    return T.term_freqs(documents(spark, sf_dir), stem=True)
-
-
-@register("a1_a2_words_tokenizer")
-def q_words(spark, sf_dir):
-    """A1 ``words`` mode + A2 possessive: word-joiner aware tokens (Java lookaround, no RE2 form)."""
-    return T.corpus_stats(T.term_freqs(documents(spark, sf_dir), mode="words"))
-
-
-PLAIN = dict(mode="simple", stem=False)  # the analysis SQL can state
+# ----------------------------------------------------------------- dense matrix, sweep
+PLAIN = dict(mode="simple", stem=False)  # the plain analysis
 _DENSE_SQL = _with(SQL_TERMS, _vocab_cte(f"df >= 20 AND df <= 1000 AND NOT regexp_full_match(term, '{BAND_EXCLUDE}')"), """
   docs AS (SELECT DISTINCT doc_id, max_tf FROM tfm),
   cells AS (
@@ -688,4 +676,4 @@ def q_sweep(spark, sf_dir):
     return result
 
 
-from . import registered_more, registered_pairs  # noqa: E402,F401
+from . import registered_more, registered_pairs, registered_text  # noqa: E402,F401
