@@ -11,14 +11,12 @@ from __future__ import annotations
 
 from typing import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import (absent_tf_weight, check_code, idf_weight, idf_weight_by_code,
                                  tf_weight, tf_weight_by_code, TF_CODES, IDF_CODES)
-from ..plans.util import bounded_broadcast
+from ..plans.util import bounded_broadcast, cut_lineage
 
 IdfSpec = int | Callable[[Column, Column], Column]
 
@@ -68,32 +66,43 @@ def baseline(vocab: DataFrame, n_docs: DataFrame, tf_calc: int = 0, idf: IdfSpec
     return v.select("term_id", "term", (absent_tf_weight(tf_calc) * F.col("idf")).alias("base"))
 
 
-def densify(weights: DataFrame, base: DataFrame, docs: DataFrame, keys=("doc_id",)) -> DataFrame:
+def densify(weights: DataFrame, base: DataFrame, docs: DataFrame, keys=("doc_id",), tile: int = 1024,
+            max_tiles: int = 2_000) -> DataFrame:
     """One ``vec array<double>`` per doc in column (term_id) order.
 
     ``docs`` lists the rows to emit (e.g. docs with at least one term); a
-    vocabulary term missing from a doc takes ``base``.  Every row of the result
-    is as wide as the vocabulary, which each task holds once: this is for matrix
-    output, all other stages read the long form.
+    vocabulary term missing from a doc takes ``base``.  The columns are cut into
+    tiles of ``tile`` numbers; a (doc, tile) piece is the tile's base values with
+    the doc's cells put between them, and a doc's pieces are joined in tile order.
+    Only the finished row is as wide as the vocabulary.  Up to ``max_tiles`` tiles
+    are broadcast (counted first), and then only the docs' cells are shuffled; beyond
+    that the pieces meet their tiles in a shuffle join, with the same result.
     """
     keys = list(keys)
-    fill = np.zeros(base.count())
-    for r in base.select("term_id", "base").toLocalIterator():  # one number per column of the matrix
-        fill[r["term_id"]] = r["base"]
-    held = base.sparkSession.sparkContext.broadcast(fill)
-    per_doc = weights.groupBy(*keys).agg(F.collect_list(F.struct("term_id", "w")).alias("_w"))
-    rows = docs.select(*keys).join(per_doc, keys, "left").select(
-        *keys, F.transform("_w", lambda x: x["term_id"]).alias("_t"), F.transform("_w", lambda x: x["w"]).alias("_w"))
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def scatter(batches):
-        for b in batches:
-            for i in range(len(b)):
-                vec = held.value.copy()
-                at, w = b.column(len(keys))[i], b.column(len(keys) + 1)[i]
-                if at.is_valid:
-                    vec[at.values.to_numpy(zero_copy_only=False)] = w.values.to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(len(keys))),
-                                                  pa.array([vec], pa.list_(pa.float64()))], names=[*keys, "vec"])
-
-    return rows.mapInArrow(scatter, f"{kinds}, vec array<double>")
+    at = lambda f: F.floor(F.col("term_id") / tile).cast("long").alias(f)
+    tiles = cut_lineage(base.groupBy(at("_tile")).agg(F.array_sort(F.collect_list(F.struct("term_id", "base"))).alias("_base"))
+                        .select("_tile", F.transform("_base", lambda x: x["base"]).alias("_base")))
+    n_tiles = tiles.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    tiles, _ = bounded_broadcast(tiles, max_tiles)
+    cells = weights.groupBy(*keys).agg(F.collect_list(F.struct(at("tile"), (F.col("term_id") % tile).cast("int").alias("place"),
+                                                               "w")).alias("_cells"))
+    none = F.array().cast("array<struct<tile:bigint,place:int,w:double>>")
+    pieces = (docs.select(*keys).join(cells, keys, "left").crossJoin(F.broadcast(n_tiles))
+              .select(*keys, F.array_sort(F.coalesce("_cells", none)).alias("_cells"),
+                      F.when(F.col("_n") > 0, F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_tiles"))
+              .select(*keys, "_cells", F.explode_outer("_tiles").alias("_tile")))
+    pieces = (pieces.withColumn("_cells", F.filter("_cells", lambda c: c["tile"] == F.col("_tile")))
+              .join(tiles, "_tile", "left"))
+    fill, own = F.col("_base"), F.col("_cells")
+
+    def upto(cell, i):
+        """The base values since the cell before, and the cell."""
+        begin = F.coalesce(F.get(own, i - 1)["place"] + 1, F.lit(0))
+        return F.concat(F.slice(fill, begin + 1, cell["place"] - begin), F.array(cell["w"]))
+
+    done = F.coalesce(F.get(own, F.size(own) - 1)["place"] + 1, F.lit(0))
+    piece = F.concat(F.flatten(F.transform(own, upto)), F.slice(fill, done + 1, F.size(fill) - done))
+    rows = (pieces.select(*keys, "_tile", piece.alias("_piece")).groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.struct("_tile", "_piece"))).alias("_pieces")))
+    vec = F.flatten(F.transform("_pieces", lambda x: x["_piece"]))
+    return rows.select(*keys, F.coalesce(vec, F.array().cast("array<double>")).alias("vec"))

@@ -123,3 +123,20 @@ def test_filters(spark, r1):
     assert a == [r.doc_id for r in sample_docs(r1, 2, seed=3).collect()] and len(a) == 2
     stats = corpus_stats(term_freqs(r1))
     assert vocabulary(stats, min_df=1, max_df=2, exclude="h.*").count() == 2  # fred, sally
+
+
+@pytest.mark.parametrize("tile,max_tiles", [(1, 100), (3, 100), (4, 0), (1024, 100)])
+def test_dense_rows_by_tiles(spark, tile, max_tiles):
+    base = [0.5 * i for i in range(10)]
+    cells = {1: {0: 7.0, 1: 8.0, 9: -1.0}, 2: {2: 3.0, 3: 0.0, 5: 4.0}, 3: {}, 4: {i: -float(i) for i in range(10)}}
+    got = densify(spark.createDataFrame([(d, t, w) for d, row in cells.items() for t, w in row.items()], "doc_id long, term_id long, w double"),
+                  spark.createDataFrame(list(enumerate(base)), "term_id long, base double"),
+                  spark.createDataFrame([(d,) for d in cells], "doc_id long"), tile=tile, max_tiles=max_tiles)
+    assert got.columns == ["doc_id", "vec"]
+    assert {r.doc_id: r.vec for r in got.collect()} == {d: [row.get(t, b) for t, b in enumerate(base)] for d, row in cells.items()}
+
+
+def test_dense_rows_without_columns(spark):
+    got = densify(spark.createDataFrame([], "doc_id long, term_id long, w double"), spark.createDataFrame([], "term_id long, base double"),
+                  spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    assert sorted((r.doc_id, r.vec) for r in got.collect()) == [(1, []), (2, [])]
