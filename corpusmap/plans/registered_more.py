@@ -58,14 +58,15 @@ def q_index(spark, sf_dir):
 
 # ----------------------------------------------------------------- sinks, read back
 @register("k1_s6_matrix_round_trip", _DENSE_SQL + """
-SELECT dense_rank() OVER (ORDER BY doc_id) - 1 AS id, count(*)::BIGINT AS width, round(sum(round(w, 6)), 3) + 0.0 AS total
+SELECT dense_rank() OVER (ORDER BY doc_id) - 1 AS id, count(*)::BIGINT AS width, round(sum(round(w, 6)::DECIMAL(18, 6)), 3)::DOUBLE AS total
 FROM cells GROUP BY doc_id""")
 def q_matrix(spark, sf_dir):
     """The matrix as text in several parts, read back in order."""
     path = folder(spark, "matrix")
     K.write_matrix(_dense(spark, sf_dir), path)
-    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)
-    return R.read_matrix(spark, path).select("id", F.size("vec").cast("long").alias("width"), (F.round(total, 3) + F.lit(0.0)).alias("total"))
+    # exact sums: sums of doubles depend on their order, which DuckDB doesn't fix
+    total = F.aggregate("vec", F.lit(0).cast("decimal(38,6)"), lambda a, x: (a + x.cast("decimal(18,6)")).cast("decimal(38,6)"))
+    return R.read_matrix(spark, path).select("id", F.size("vec").cast("long").alias("width"), F.round(total, 3).cast("double").alias("total"))
 
 
 @register("k2_paths_in_order", """
