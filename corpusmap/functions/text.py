@@ -78,7 +78,7 @@ def tokenize(text: Column | str, mode: str = "simple", max_length: int | None =
 
 def strip_possessive(tok: Column) -> Column:
     """A2: drop a trailing 's / ’s (either case of s)."""
-    return F.regexp_replace(tok, POSSESSIVE_PATTERN, "")
+    return F.when(tok.endswith("s") | tok.endswith("S"), F.regexp_replace(tok, POSSESSIVE_PATTERN, "")).otherwise(tok)
 
 
 def analyze_tokens(text: Column | str, mode: str = "simple", possessive: bool = True,
