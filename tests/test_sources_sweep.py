@@ -183,7 +183,7 @@ def test_sweep_query_runs_the_whole_experiment(spark, monkeypatch):
     monkeypatch.setattr(registered.X, "sweep", record)
     monkeypatch.setattr(registered, "documents", lambda *a: None)
     monkeypatch.setattr(registered, "table", lambda *a: spark.createDataFrame([(1, "en")], "doc_id long, lang string"))
-    registered.QUERIES["x3_x4_sweep_2x2x2"](spark, "")
+    registered.QUERIES["x3_x4_sweep_4x4x4"](spark, "")
     settings = {(r.tf_calc, r.idf_calc, r.perplexity) for r in seen["params"].collect()}
     assert settings == {(t, i, p) for t in range(4) for i in range(4) for p in (6.0, 3.0, 1.0, 30.0)}
     assert (seen["cfg"].max_iter, seen["cfg"].start_iter, seen["cfg"].method, seen["cfg"].theta) == (500, 0, "bh", 0.001)
