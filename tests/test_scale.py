@@ -66,6 +66,15 @@ def test_exact_pass_replicates_no_point(spark):
     assert got[3].a1 == pytest.approx(0.25 * q[3, 6] * d[3, 6, 1], rel=1e-12) and got[4].a0 == 0
 
 
+def test_points_without_a_place_leave_the_sums_of_other_blocks(spark):
+    """Null places make null partial sums, which add nothing."""
+    rows = [("default", i, None if i == 0 else float(i), float(i)) for i in range(30)]
+    state = spark.createDataFrame(rows, "run_id string, id long, y0 double, y1 double")
+    empty = spark.createDataFrame([], "run_id string, src long, dst long, p double")
+    per_point, z = L.sum_forces(L.exact_forces(state, L.edges_by_block(empty, 3), 3))
+    assert z.first().Z > 0 and {r.id: r.r0 for r in per_point.collect()}[0] is None
+
+
 def test_dense_block_by_columns(monkeypatch):
     rng = np.random.default_rng(11)
     y = rng.normal(size=(20, 2))
