@@ -178,6 +178,24 @@ def test_induced_sorting(tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir()) or all(p.is_file() for p in tmp_path.iterdir())
 
 
+@pytest.mark.parametrize("memory", [256, 1 << 26])
+def test_induced_sorting_of_repeats(tmp_path, monkeypatch, memory):
+    """Long equal stretches and runs; seeds that fit into memory cost two inductions, not four a level."""
+    calls, induce = [], induced._induce
+    monkeypatch.setattr(induced, "_induce", lambda *a: calls.append(1) or induce(*a))
+    rng = np.random.default_rng(7)
+    part = rng.integers(1, 4, 300)
+    s = np.concatenate([part, np.repeat(2, 90), part, np.repeat(2, 97), part[:50], np.repeat(3, 40), part[:20]])
+    t = np.append(s, 0).astype(np.uint16)
+    order = induced.suffix_order(t, induced.Scratch(str(tmp_path), memory))
+    assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    assert len(calls) == 2 or memory == 256
+    for length in (1, 3, 4, 7, 8, 90, 301):
+        ends = np.array([i for i in order if i + length <= len(t)])
+        want = [t[i:i + length].tolist() == t[j:j + length].tolist() for i, j in zip(ends[:-1], ends[1:])]
+        assert induced.same_prefix(t, ends[:-1], ends[1:], length).tolist() == want
+
+
 @pytest.mark.parametrize("symbols", [4, 50_000])
 def test_induced_sorting_in_little_memory(tmp_path, symbols):
     """A large text, past the scratch's memory share: nothing near a number for each seed, or each suffix of a symbol, stays in memory."""
