@@ -59,13 +59,14 @@ class Tables:
     """Both tokenizers: ids and byte lengths, and what is known of pieces of text seen before."""
 
     def __init__(self, a_path: str, b_path: str, limit: int = KEEP_PIECES):
+        from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.line_end = line_end_id(self.a)
         model = Model(b_path)
-        self.b = Encoder(model)
+        self.b, self.library = Encoder(model), SentencePieceProcessor(model_file=b_path)
         if not self.b.cuts or not model.prefix:
             raise ValueError(f"{b_path}: pieces that go on after a space can't be aligned piece by piece")
         alphabet = byte_alphabet()
@@ -94,7 +95,7 @@ class Tables:
             self.first = {k: np.zeros(0, np.int64) for k in "abk"}
             return
         a = encode_pieces(self.a, new, self.line_end, [])
-        b = [self.b.encode(p.replace(" ", SPACE)) for p in new]
+        b = self._encode_b(new)
         size = {"a": np.array([len(x) for x in a], np.int64), "b": np.array([len(x) for x in b], np.int64)}
         flat = {"a": np.concatenate(a).astype(np.int64), "b": np.fromiter(chain.from_iterable(b), np.int64, int(size["b"].sum()))}
         ok = self._same_bytes(new, flat, size)
@@ -122,6 +123,12 @@ class Tables:
             self.size[k] = np.concatenate([self.size[k], size[k].astype(np.int32)])
         self.ok = np.concatenate([self.ok, ok])
 
+    def _encode_b(self, new: list[str]) -> list[list[int]]:
+        """Ids of B of each piece; the library puts the space before a piece itself, so one alone and NULs are left to the encoder."""
+        own = [p[:1] != " " or len(p) == 1 or "\0" in p for p in new]
+        found = iter(self.library.encode([p[1:] for p, o in zip(new, own) if not o], num_threads=1))
+        return [self.b.encode(p.replace(" ", SPACE)) if o else next(found) for p, o in zip(new, own)]
+
     def _same_bytes(self, new, flat, size) -> np.ndarray:
         """Which pieces are exactly the bytes of their tokens, on both sides."""
         raw = pa.array(new, pa.string())

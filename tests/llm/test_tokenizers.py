@@ -149,6 +149,19 @@ def test_alignment_of_nothing_and_of_very_long_texts(spark, paths, library):
     assert Counter(map(tuple, got.collect())) == expected(rows, paths, library)
 
 
+def test_pieces_are_encoded_by_the_library(paths, monkeypatch):
+    """The same ids as the encoder's, whose walk is left to a few odd pieces."""
+    t = alignment.Tables(*paths)
+    names = pieces.cut(pa.array([" " + x for x in noise(4, 3000)]))[0]
+    names += [" ", "  ", "   x", " \0", " a\0b", " <s>", " <0x41>", " \u2581", " \u2581a", "\u2581", " \n", " é\U0001f600", " " + "ab" * 500]
+    encode, walked = t.b.encode, []
+    want = [encode(x.replace(" ", alignment.SPACE)) for x in names]
+    monkeypatch.setattr(t.b, "encode", lambda s: walked.append(s) or encode(s))
+    assert t._encode_b(names) == want and t._encode_b([]) == []
+    odd = [x for x in names if x[:1] != " " or x == " " or "\0" in x]
+    assert len(walked) == len(odd) < len(names) / 2
+
+
 def test_fragments_are_a_monoid(paths):
     """Any bracketing of any byte ranges gives the groups of the whole."""
     t = alignment.Tables(*paths)
